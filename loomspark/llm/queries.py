@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality
-from .shared import remainder
+from . import html_text, katz, language_id, ngram_join, packing, pii, quality, sentencepiece_viterbi, vector_join, warc
+from .shared import remainder, shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,12 +22,58 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz bigrams learned outside fold 2 of 7, scoring every document."""
+    fold = remainder(F.col("doc_id"), 7)
+    out = katz.score(read(spark, sf_dir, "documents"), fold != 2)
+    return out.withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the best-scoring pieces and decoded again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece_viterbi.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    out = sentencepiece_viterbi.decode(coded, path)
+    return out.select("doc_id", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "score", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives in the shared folder and read back."""
+    archives = warc.write(read(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc")
+    ends = warc.read(archives).where("last")
+    return ends.select(F.col("record").alias("page_id"), F.col("size").alias("payload_bytes"), F.when(F.col("kind") == "response", F.col("running")).otherwise(F.col("digest")).alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epsilon grid order join of all embeddings within labels at cosine 0.93."""
+    return vector_join.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; the label model is fitted on all of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.label(docs, pii.fit(docs))
+    base = F.filter("pii", lambda x: x["base"])
+    counts = [pii.counted(base, k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: four-word shingles, similarity 0.85."""
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold table on every document."""
     out = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by wrapper induction over its host's pages."""
+    return html_text.extract_text(read(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents tokenised and packed into sequences of at most 4096 tokens."""
     docs = read(spark, sf_dir, "documents")
@@ -35,5 +81,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op8_quality_rules, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_sentencepiece, op4_warc, op5_embedding_near_dedup, op6_pii, op7_ngram_jaccard_join, op8_quality_rules, op9_html_extraction, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what cut() wrote, once nothing reads it any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
+        if path:
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps, which it does for plans that are garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def words_of(text: str | None, fold: bool = True) -> list[bytes]:
     """Words as UTF-8 bytes. bytes.split() splits on exactly the six ASCII blanks, bytes.lower() folds A-Z only."""
     if not text:
