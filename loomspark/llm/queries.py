@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_text, katz, language_id, ngram_join, packing, pii, quality, sentencepiece_viterbi, vector_join, warc
+from .oracles import ORACLE_SQL  # noqa: F401
 from .shared import remainder, shared_dir
 
 
@@ -82,4 +83,3 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_sentencepiece, op4_warc, op5_embedding_near_dedup, op6_pii, op7_ngram_jaccard_join, op8_quality_rules, op9_html_extraction, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
