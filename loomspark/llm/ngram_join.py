@@ -38,12 +38,22 @@ TILE = 4096
 BUCKETS = 1 << 20
 #: Bytes of each shingle hash that the exact intersection compares.
 KEPT = 5
+#: Word hashes kept by a worker, and rows taken from an Arrow batch at once.
+MOST_WORDS = 150_000
+ROWS = 500
 _WORDS: dict[bytes, int] = {}
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     known = _WORDS
-    if len(known) > 1_000_000:
+    if len(known) > MOST_WORDS:
         known.clear()
     try:
         return np.array([known[w] for w in words], np.uint64)
@@ -91,7 +101,7 @@ def heavy_buckets(docs: DataFrame, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 np.add.at(count, (shingles(text, k) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         at = np.flatnonzero(count >= max(32, 8 * count.mean()))
@@ -109,7 +119,7 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
-        for batch in batches:
+        for batch in small(batches):
             n, sid, keys, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, k)
@@ -186,7 +196,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (a, b) that reach the threshold, by intersecting their whole sorted shingle arrays."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             packed = [np.sort(shingles(t, k) >> np.uint64(64 - 8 * KEPT)).view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "h"])
 
@@ -196,7 +206,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
         return wide.view(np.uint64).ravel()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = unpack(x), unpack(y)

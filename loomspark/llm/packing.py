@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from .shared import cut
 
 END_ID = 1
+#: Signs that the tokenizer separates from letters before them and keeps together.
+SIGNS = b".,;:!?*#$%&"
 CAPACITY = 4096
 OPEN_BINS = 2048
 TOKENS_PER_PACKER = 1 << 25
@@ -38,7 +40,7 @@ class WordTokens:
     blank-separated runs in order. The cache is emptied when it holds `most` runs.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,23 +48,38 @@ class WordTokens:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, runs: list[bytes]) -> None:
-        if len(self.known) + len(runs) > self.most:
-            self.known.clear()
-        coded = self.tokenizer.encode_batch([r.decode() for r in runs], add_special_tokens=False)
-        self.known.update((r, np.array(c.ids, "<u4").tobytes()) for r, c in zip(runs, coded, strict=True))
+        """Code runs; letters with common signs behind them are coded as the two parts the tokenizer makes of them."""
+        parts = {}
+        for run in runs:
+            stem = run.rstrip(SIGNS)
+            if len(stem) < len(run) and stem.decode().isalpha():
+                parts[run] = stem, run[len(stem) :]
+        known = self.known
+        bare = {x for run in runs for x in parts.get(run, (run,)) if x not in known}
+        if len(known) + len(runs) + len(bare) > self.most:
+            known.clear()
+            bare = {x for run in runs for x in parts.get(run, (run,))}
+        listed = list(bare)
+        coded = self.tokenizer.encode_batch([r.decode() for r in listed], add_special_tokens=False)
+        known.update((r, np.array(c.ids, "<u4").tobytes()) for r, c in zip(listed, coded, strict=True))
+        known.update((run, known[stem] + known[tail]) for run, (stem, tail) in parts.items())
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, END_ID last."""
-        end, out, get = np.array([END_ID], "<u4").tobytes(), [], self.known.get
-        for text in texts:
-            raw = text.encode("utf-8", "replace") if text else b""
-            runs = (raw if b"<|" in raw else raw.lower()).split()  # lower case as the tokenizer does, but for its special tokens
-            new = {r for r in runs if r not in self.known}
-            if new:
-                self.learn(list(new))
-                if any(get(r) is None for r in runs):
-                    self.learn(list(set(runs)))
-            out.append(b"".join([*map(self.known.__getitem__, runs), end]))
+        end = np.array([END_ID], "<u4").tobytes()
+        raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+        # lower case as the tokenizer does, but for its special tokens
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        out, known = [], self.known
+        new = {r for runs in split for r in runs if r not in known}
+        if new:
+            self.learn(list(new))
+        for runs in split:
+            try:
+                out.append(b"".join([*map(known.__getitem__, runs), end]))
+            except KeyError:  # the cache was emptied on the way
+                self.learn(list(set(runs)))
+                out.append(b"".join([*map(known.__getitem__, runs), end]))
         return out
 
 
@@ -79,8 +96,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
             _TOKENIZERS[tokenizer_path] = WordTokens(tokenizer_path)
         coder = _TOKENIZERS[tokenizer_path]
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 rows, pieces, starts, lengths, parts = [], [], [], [], []
                 for i, ids in enumerate(coder.ids(batch.column(1).to_pylist())):
                     for k, a in enumerate(range(0, len(ids) // 4, capacity)):

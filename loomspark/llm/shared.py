@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +45,21 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps, which it does for plans that are garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees what the second round's references hung on
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers as bytes: planes of equal significance, compressed."""
+    width = values.dtype.itemsize
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel()
 
 
 def words_of(text: str | None, fold: bool = True) -> list[bytes]:

@@ -117,7 +117,8 @@ def joined(idfs: Sequence[Sequence[float]]):
             before += len(table)
         return SparseVector(before, np.concatenate(at), np.concatenate(values))
 
-    return F.udf(scale, VectorUDT())
+    # kept apart from the array functions above it, which may not hold a Python function
+    return F.udf(scale, VectorUDT()).asNondeterministic()
 
 
 def train(rows: DataFrame, classes: Sequence[str] = CLASSES, c: float = 1.0, max_df: float = 0.95, most: int = 30_000, iterations: int = 100) -> IntentModel:
