@@ -10,10 +10,10 @@ TILE classes are cut into pairs of parts.) Parity bitmaps bound a pair's overlap
 differing bits cannot outnumber differing shingles. Pairs that pass are intersected exactly, as
 sorted arrays.
 
-Only connection matters, so the work has two passes. The first tests each class against its most
-alike predecessor; the second tests every pair of a tile that the first left in different
-components and that passes the bound. No link between components can be missed, and no group is
-expanded into all its pairs.
+Only connection matters, so the work goes in passes. The first tests each class against its most
+alike predecessor; the next ROUNDS join components by the most alike pairs across them; the last
+tests every pair of a tile that is still in different components and that passes the bound. No link
+between components can be missed, and a connected group isn't expanded into all its pairs.
 
 Defined results: null or blank text has the empty set, n_shingles 0, and links with nothing; a text
 with fewer than k words has one shingle, the whole sequence. Rows without id link with nothing.
@@ -41,6 +41,10 @@ KEPT = 5
 #: Word hashes kept by a worker, and rows taken from an Arrow batch at once.
 MOST_WORDS = 150_000
 ROWS = 500
+#: Rounds that test only the BEST most alike pairs of a class in each tile, before all pairs that are left.
+ROUNDS, BEST = 2, 1
+#: 64-bit numbers that a tile compares at once.
+AT_ONCE = 1 << 18
 _WORDS: dict[bytes, int] = {}
 
 
@@ -220,8 +224,11 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return wide.select("a", "b", "x", "y").mapInArrow(meet, "a long, b long")
 
 
-def crossing(tiles: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a tile in different components whose sizes and bitmaps let them reach the threshold."""
+def crossing(tiles: DataFrame, classes: DataFrame, found: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+    """(a, b): pairs of a tile in different components whose sizes and bitmaps let them reach the threshold.
+
+    With `best`, a class keeps only that many of its pairs in a tile, those with the fewest differing bits.
+    """
     t = tiles.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = t.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     parts = F.ceil(F.col("g") / TILE)
@@ -230,36 +237,59 @@ def crossing(tiles: DataFrame, classes: DataFrame, found: DataFrame, percent: in
     rows = t.join(mixed, "key").withColumn("p", p).withColumn("tile", F.explode(other)).join(classes.select("rep", "bits"), "rep")
     dealt = rows.select("key", "tile.i", "tile.j", "p", "n", "rep", "component", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "rep")
 
+    def near(tile: dict[str, pa.ChunkedArray]) -> Iterator[np.ndarray]:
+        n, rep, comp, part = (tile[c].to_numpy() for c in ("n", "rep", "component", "p"))
+        if (comp == comp[0]).all():
+            return
+        two = tile["i"][0].as_py() != tile["j"][0].as_py()
+        bits = [np.frombuffer(x, np.uint64) for x in tile["bits"].to_pylist()]
+        width = np.array([len(x) for x in bits])
+        for w in np.unique(width):  # widths follow sizes: a pair is compared at the smaller one's width
+            mine = np.flatnonzero(width == w)
+            low = np.stack([bits[r] for r in mine])
+            for v in np.unique(width[width >= w]):
+                theirs = np.flatnonzero(width == v)
+                if 100 * n[mine].max() < percent * n[theirs].min():
+                    continue
+                fold = np.stack([bits[r] for r in theirs])
+                while fold.shape[1] > w:
+                    fold = fold[:, : fold.shape[1] // 2] ^ fold[:, fold.shape[1] // 2 :]
+                step = max(1, AT_ONCE // fold.size)
+                for at in range(0, len(mine), step):
+                    r = mine[at : at + step]
+                    ok = (comp[r][:, None] != comp[theirs]) & (100 * n[r][:, None] >= percent * n[theirs])
+                    if v == w:
+                        ok &= r[:, None] < theirs
+                    if two:
+                        ok &= part[r][:, None] != part[theirs]
+                    x, y = np.nonzero(ok)
+                    differ = np.bitwise_count(low[at + x] ^ fold[y]).sum(axis=1, dtype=np.int64)
+                    total = n[r[x]] + n[theirs[y]]
+                    reach = may_reach(total, differ, percent)
+                    x, y, share = x[reach], y[reach], differ[reach] / total[reach]
+                    if best:
+                        by = np.lexsort((share, x))
+                        x, y = x[by], y[by]
+                        first = np.arange(len(x)) - np.searchsorted(x, x) < best
+                        x, y = x[first], y[first]
+                    if len(x):
+                        yield np.stack([rep[r[x]], rep[theirs[y]]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
         for tile in runs(batches, ["key", "i", "j"]):
-            n, rep, comp, part = (tile[c].to_numpy() for c in ("n", "rep", "component", "p"))
-            two = tile["i"][0].as_py() != tile["j"][0].as_py()
-            bits = [np.frombuffer(x, np.uint64) for x in tile["bits"].to_pylist()]
-            width = np.array([len(x) for x in bits])
-            for w in np.unique(width):  # widths follow sizes: a pair is compared at the smaller one's width
-                mine = np.flatnonzero(width == w)
-                wider = np.flatnonzero(width > w)
-                low = np.stack([bits[r] for r in mine])
-                against = {0: (mine, low)}
-                for v in np.unique(width[wider]):
-                    rows_ = np.flatnonzero(width == v)
-                    fold = np.stack([bits[r] for r in rows_])
-                    while fold.shape[1] > w:
-                        fold = fold[:, : fold.shape[1] // 2] ^ fold[:, fold.shape[1] // 2 :]
-                    against[int(v)] = (rows_, fold)
-                for v, (rows_, fold) in against.items():
-                    for x, r in enumerate(mine):
-                        span = slice(x + 1, None) if not v else slice(None)
-                        c = rows_[span]
-                        ok = (comp[c] != comp[r]) & (100 * n[r] >= percent * n[c])
-                        if two:
-                            ok &= part[c] != part[r]
-                        if not ok.any():
-                            continue
-                        differ = np.bitwise_count(fold[span][ok] ^ low[x]).sum(axis=1, dtype=np.int64)
-                        c = c[ok][may_reach(n[c[ok]] + n[r], differ, percent)]
-                        if len(c):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), rep[r])), pa.array(rep[c])], names=["a", "b"])
+            for pairs in near(tile):
+                held.append(pairs)
+                if sum(x.shape[1] for x in held[-256:]) >= 1 << 16 or len(held) >= 256:
+                    yield flush()
+        if held:
+            yield flush()
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -277,9 +307,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = bounded(neighbours(tiles, percent).distinct(), classes, percent)
     first = cut(verified(cut(near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b"), "pairs"), rows, words, percent), "links")
     found = cut(components(first), "components")
-    second = cut(crossing(tiles, classes, found, percent), "pairs")
-    if not second.isEmpty():
-        found = components(first.union(verified(second, rows, words, percent)))
+    for best in (*[BEST] * ROUNDS, None):
+        pairs = cut(crossing(tiles, classes, found, percent, best), "pairs")
+        if pairs.isEmpty():
+            break
+        more = cut(verified(pairs, rows, words, percent), "links")
+        if not more.isEmpty():
+            found = cut(components(found.toDF("a", "b").union(more)), "components")
     named = class_of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "n", F.coalesce("component", "rep").alias("component"))
     out = told.select("id", "n", "sid").join(named, ["sid", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
