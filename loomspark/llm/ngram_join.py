@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, mix64, words_of
+from .shared import cut, mix64, release, words_of
 
 TILE = 4096
 BUCKETS = 1 << 20
@@ -42,7 +42,7 @@ KEPT = 5
 MOST_WORDS = 150_000
 ROWS = 500
 #: Rounds that test only the BEST most alike pairs of a class in each tile, before all pairs that are left.
-ROUNDS, BEST = 2, 1
+ROUNDS, BEST = 1, 1
 #: 64-bit numbers that a tile compares at once.
 AT_ONCE = 1 << 18
 _WORDS: dict[bytes, int] = {}
@@ -304,10 +304,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
     tiles = cut(keyed.join(shared, "key").select("key", "rep", "n", "g"), "tiles")
+    release(docs.sparkSession)
     near = bounded(neighbours(tiles, percent).distinct(), classes, percent)
     first = cut(verified(cut(near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b"), "pairs"), rows, words, percent), "links")
     found = cut(components(first), "components")
     for best in (*[BEST] * ROUNDS, None):
+        release(docs.sparkSession)
         pairs = cut(crossing(tiles, classes, found, percent, best), "pairs")
         if pairs.isEmpty():
             break
