@@ -187,6 +187,26 @@ def test_contradictions(spark):
     assert (got.contradiction_type, got.confidence) == ("sentiment_flip", 0.7)
 
 
+def test_batch_takes_any_number_of_queries(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float)  # few values, so there are many ties
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vec array<float>").repartition(3)
+    asked = rng.integers(-2, 3, (1500, 4)).astype(float)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "q long, vec array<float>")
+    want = {(i, r + 1): (int(j), float(s[j])) for i, s in enumerate(asked @ vectors.T) for r, j in enumerate(np.lexsort((np.arange(300), -s))[:3])}
+    for block in (4096, 400):
+        got = retrieval.top_k_batch(index, queries, 3, "id", "q", block=block).collect()
+        assert len(got) == len(want) and {(r.q, r["rank"]): (r.id, r.score) for r in got} == want
+
+
+def test_batch_with_odd_vectors(spark):
+    index = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [float("nan"), 0.0]), (4, [2.0, 0.0]), (5, [1.0]), (6, [2.0, 0.0])], "id long, vec array<double>").coalesce(1)
+    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "q string, vec array<double>")
+    got = retrieval.top_k_batch(index, queries, 4, "id", "q").orderBy("q", "rank").collect()
+    assert [(r.q, r.id) for r in got] == [("a", 3), ("a", 4), ("a", 6), ("a", 1), ("b", 1), ("b", 2), ("b", 3), ("b", 4)] and got[3].score is None
+    assert retrieval.top_k_batch(index, queries.where("false"), 4, "id", "q").count() == 0
+
+
 def test_rerank(spark):
     rows = spark.createDataFrame([(1, "nothing", 0.5), (2, "red house", 0.45)], "id long, text string, relevance_score double")
     got = retrieval.keyword_rerank(rows, "where is the red house", "text", "id").collect()
