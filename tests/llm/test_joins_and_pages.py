@@ -186,6 +186,24 @@ def test_article_tags_and_single_pages():
     assert set(copies) == {"Head One Two"}
 
 
+def test_a_notice_on_few_pages_of_a_large_host(spark):
+    notice = "<div class='x'><p>Service is interrupted on Sunday</p></div>"
+    rows = [(i, f"http://h/{i}", f"{notice if i % 40 == 0 else ''}<div class='y'><p>Story {i} tells of {i * 7} things</p><p>and more of {i * 3}</p></div>") for i in range(400)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story {i} tells of {i * 7} things and more of {i * 3}" for i in range(400)}
+
+
+def test_shared_text_longer_than_every_paragraph():
+    legal = "<div class='z'><p>" + "All rights are reserved by the owners of this site. " * 9 + "</p></div>"
+    assert html_text.induce([f"<div class='y'><p>Short story {i}</p></div>{legal}" for i in range(9)]) == [f"Short story {i}" for i in range(9)]
+
+
+def test_copies_among_other_pages():
+    pages = ["<div><p>One story that was copied</p></div><div class='z'><p>Shared line</p></div>"] * 20
+    pages += [f"<div><p>Story number {i}</p></div><div class='z'><p>Shared line</p></div>" for i in range(9)]
+    assert html_text.induce(pages) == ["One story that was copied"] * 20 + [f"Story number {i}" for i in range(9)]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://h/", "plain text"), (4, "http://h/", "<p>a<b>b</p> <!-- c -->d"), (4, "http://h/", "<p>a<b>b</p> <!-- c -->d"), (5, "http://h/", "<" * 50 + "<p title='>'>q</p>"), (6, "http://h/", "<div>" * 300 + "deep")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
