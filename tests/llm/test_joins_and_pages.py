@@ -204,6 +204,16 @@ def test_copies_among_other_pages():
     assert html_text.induce(pages) == ["One story that was copied"] * 20 + [f"Story number {i}" for i in range(9)]
 
 
+def test_constant_blocks_among_like_siblings(spark):
+    boxes = [f"<div><p>Notice of the day</p></div><div><p>Story {i}</p><p>goes on to {i * 7}</p></div><div><p>Write to the editor</p></div>" for i in range(9)]
+    plain = [f"<p>Notice of the day</p><p>Story {i}</p><p>goes on to {i * 7}</p><p>Write to the editor</p>" for i in range(9)]
+    menus = [f"<div><a>Part {i}</a> <a>Part {i + 1}</a></div><div>Story {i} goes on to {i * 7}</div>" for i in range(9)]
+    want = [f"Story {i} goes on to {i * 7}" for i in range(9)]
+    assert html_text.induce(boxes) == html_text.induce(plain) == html_text.induce(menus) == want
+    rows = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(boxes)], "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract_text(rows).orderBy("page_id").collect()] == want
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://h/", "plain text"), (4, "http://h/", "<p>a<b>b</p> <!-- c -->d"), (4, "http://h/", "<p>a<b>b</p> <!-- c -->d"), (5, "http://h/", "<" * 50 + "<p title='>'>q</p>"), (6, "http://h/", "<div>" * 300 + "deep")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
