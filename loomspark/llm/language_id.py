@@ -6,8 +6,9 @@ the longest context that the tree knows, pays the escape probability d/(n+d) (n:
 d: distinct followers, "method C") for each context that has never seen the byte, and ends in a
 uniform order -1. The language whose tree codes the text in the fewest bits is predicted.
 
-Fitting uses a bounded sample of labelled rows: about `docs_per_language` rows of each language,
-picked by a hash of the row, none longer than `max_sample_chars`. Everything else reads all rows.
+Fitting uses a bounded sample of labelled rows: `docs_per_language` different texts of each language,
+picked by a hash of the text; copies count once. Texts longer than `max_sample_chars` are used, whole,
+only where a language has too few shorter ones. Everything else reads all rows.
 
 Defined results: null text, or a text without any letter, gives `und` and score 0; so does a model
 without languages. Ties go to the language that sorts first. Very long texts are scored whole, in
@@ -20,10 +21,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -159,32 +161,44 @@ class PpmModel:
         return out
 
 
+def windows(data: bytes, size: int = 1 << 16) -> Iterator[np.ndarray]:
+    """data in pieces that begin with the ORDER bytes before them."""
+    for at in range(ORDER, len(data), size):
+        yield np.frombuffer(data[at - ORDER : at + size], np.uint8).astype(np.uint64)
+
+
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(order, key, lang) counts of each batch of (lang, text)."""
     for batch in batches:
         table = batch.to_pandas()
         for lang, rows in table.groupby("lang"):
             for k in range(ORDER + 1):
-                parts = [gram_keys(np.frombuffer(text_bytes(t), np.uint8).astype(np.uint64), k, ORDER) for t in rows["text"]]
-                key, count = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"order": pa.array(np.full(len(key), k, np.int32)), "key": pa.array(key.astype(np.int64)), "lang": pa.array([lang] * len(key), pa.string()), "count": pa.array(count)})
+                parts = (gram_keys(part, k, ORDER) for t in rows["text"] for part in windows(text_bytes(t)))
+                while some := list(islice(parts, 64)):
+                    key, count = np.unique(np.concatenate(some), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"order": pa.array(np.full(len(key), k, np.int32)), "key": pa.array(key.astype(np.int64)), "lang": pa.array([lang] * len(key), pa.string()), "count": pa.array(count)})
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 160, max_sample_chars: int = 20_000) -> PpmModel:
     """Trees from a bounded sample of the labelled rows of docs.
 
-    At most docs_per_language rows a language are used, each of at most max_sample_chars
-    characters, so what reaches the driver is bounded by those two numbers and the count of languages.
+    At most docs_per_language different texts a language are used, longer ones than max_sample_chars
+    characters only where there are too few others; what reaches the driver is their gram counts.
     """
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text").between(1, max_sample_chars)))
-    sizes = rows.groupBy("lang").count().collect()
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    marked = rows.withColumns({"draw": F.xxhash64("text", F.lit(20240229)), "long": F.length("text") > max_sample_chars})
+    different = marked.select("lang", "long", "draw").distinct()
+    sizes = different.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).collect()
     if not sizes:
         return PpmModel.from_counts([], *[np.zeros(0, t) for t in (np.int32, np.uint64, np.int64, np.int64)])
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * docs_per_language / r["count"]))])
-    draw = F.xxhash64("text", F.lit(20240229))
-    near = rows.where((F.pmod(draw, F.lit(1 << 30)) / F.lit(float(1 << 30))) <= share[F.col("lang")])
-    ranked = near.withColumn("draw", draw).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text")))
-    sample = ranked.where(F.col("rank") <= docs_per_language).select("lang", "text")
+
+    def share(of: str) -> Column:
+        return F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * docs_per_language / max(1, r[of])) if of == "short" or r["short"] < docs_per_language else -1.0)])[F.col("lang")]
+
+    near = marked.where(F.pmod("draw", F.lit(1 << 30)) / F.lit(float(1 << 30)) <= F.when(F.col("long"), share("long")).otherwise(share("short")))
+    ranked = near.select("lang", "long", "draw").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("long", "draw")))
+    picked = ranked.where(F.col("rank") <= docs_per_language).select("lang", "long", "draw")
+    sample = near.join(F.broadcast(picked), ["lang", "long", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text")).select("lang", "text")
     counted = sample.mapInArrow(gram_counts, "order int, key long, lang string, count long").groupBy("order", "key", "lang").agg(F.sum("count").alias("count")).toPandas()
     languages = sorted(r["lang"] for r in sizes)
     number = {x: i for i, x in enumerate(languages)}

@@ -79,6 +79,31 @@ def test_language_odd_rows(spark, docs):
     assert set(docs.columns) < set(language_id.identify(docs, model).columns)
 
 
+def sampled(monkeypatch, rows, **sizes):
+    """Texts that fit() learns from, by language."""
+    seen = []
+    monkeypatch.setattr(language_id.PpmModel, "from_counts", classmethod(lambda cls, names, orders, keys, langs, counts: seen.append((names, Counter({(names[x], k): c for x, o, k, c in zip(langs, orders, keys, counts) if o == 4})))))
+    language_id.fit(rows, **sizes)
+    return seen[0]
+
+
+def test_language_sample_of_copies(spark, monkeypatch):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = spark.createDataFrame([("a", w * 5) for w in words] + [("a", "copied text")] * 5000, "lang string, text string")
+    names, grams = sampled(monkeypatch, rows, docs_per_language=160)
+    # the last five bytes of "xyxyxyxyxy" tell the text apart from all others
+    ends = {int.from_bytes((w * 5)[-5:].encode(), "big") for w in words}
+    assert names == ["a"] and sum(("a", e) in grams for e in ends) >= 159
+
+
+def test_language_of_long_texts_only(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "xyz " * 60_000), ("a", "xyz " * 60_000), ("b", "short text"), ("b", "long " * 6000)], "lang string, text string")
+    names, grams = sampled(monkeypatch, rows, docs_per_language=1)
+    xyz = int.from_bytes(b"xyz x", "big")
+    assert names == ["a", "b"] and grams["a", xyz] == 59_999 and {x for x, _ in grams} == {"a", "b"}
+    assert ("b", int.from_bytes(b"long ", "big")) not in grams
+
+
 # quality rules
 
 
