@@ -2,12 +2,12 @@
 
 The text is lower-cased words and one end token. With history h and word w
 
-    p(w | h) = d(r) r / c(h)          if the training rows hold (h, w) r >= 2 times
+    p(w | h) = d(r) r / c(h)          if the training rows hold (h, w) r >= least times
              = alpha(h) p(w)          otherwise
     p(w)     = d(c) c / N             if they hold w, else the unigram mass that discounting frees
 
-d is Good-Turing's r*/r for counts up to K, in Katz's form; pairs seen once are treated as unseen
-(Katz's own reduction), so their mass goes to the backoff. alpha(h) makes the probabilities after
+d is Good-Turing's r*/r for counts up to K, in Katz's form. `least` is 1 by default, so every pair is
+kept; with 2, Katz's own reduction, pairs seen once leave their mass to the backoff. alpha(h) makes the probabilities after
 h sum to one exactly over all training words and one unknown word.
 
 Documents are laid out once as blocks: a row holds the token stream of some documents as numbers
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, discard, mix64, release, squeezed, unsqueezed, words_of
+from .shared import cut, discard, mix64, squeezed, unsqueezed, words_of
 
 K = 5
 BLOCK_BYTES = 12 << 20
@@ -226,9 +226,9 @@ def discounts(n: np.ndarray, least: int) -> np.ndarray:
 class Model:
     """The corpus-wide numbers: unigram and bigram discounts, the unknown word's probability."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray) -> None:
-        self.n, self.v = int(words[0]), int(words[1])
-        self.d1, self.d2 = discounts(words[2:], 1), discounts(pairs[2:], 2)
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, least: int = 1) -> None:
+        self.n, self.v, self.least = int(words[0]), int(words[1]), least
+        self.d1, self.d2 = discounts(words[2:], 1), discounts(pairs[2:], least)
         freed = sum((1 - self.d1[r]) * r * int(words[1 + r]) for r in range(1, K + 1))
         self.scale = 1.0 if freed > 0 else self.n / (self.n + 1.0)
         self.unknown = freed / self.n if freed > 0 else 1.0 / (self.n + 1.0)
@@ -269,9 +269,9 @@ def shares(laid: DataFrame, replies: DataFrame, model: Model, buckets: int) -> D
             c[order] = replied(got, 0)
             b.pairs()
             told = replied(got, 1)
-            mine = np.flatnonzero((told & 1 == 1) & (told >= 4))
+            mine = np.flatnonzero((told & 1 == 1) & (told >= 2 * model.least))
             h, w = b.pair[mine] // len(b.words), b.pair[mine] % len(b.words)
-            kept, seen = (np.bincount(h, weights=x, minlength=len(b.words)) for x in (model.discounted(told[mine] >> 1), model.unigram(c[w])))
+            kept, seen = (np.bincount(h, weights=x, minlength=len(b.words)).astype(np.float64) for x in (model.discounted(told[mine] >> 1), model.unigram(c[w])))
             at = np.unique(h)
             parts.append(pa.table([pa.array(b.words[at].view(np.int64)), pa.array(kept[at]), pa.array(seen[at])], names=["h", "kept", "seen"]))
         return pa.concat_tables(parts) if parts else pa.table({"h": pa.array([], pa.int64()), "kept": pa.array([], pa.float64()), "seen": pa.array([], pa.float64())})
@@ -332,9 +332,11 @@ def scored(laid: DataFrame, replies: DataFrame, model: Model, buckets: int) -> D
     return laid.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row, learning from the rows where train holds."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row, learning from the rows where train holds.
+
+    Pairs seen fewer than `least` times are left to the backoff; 1 keeps them all.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
@@ -342,13 +344,10 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     asks = cut(asked(laid, buckets, False), "asks")
     words = cut(answers(asks, False), "words")
     pairs = cut(answers(asked(laid, buckets, True), True), "pairs")
-    release(spark)
-    model = Model(statistics(words), statistics(pairs))
+    model = Model(statistics(words), statistics(pairs), least)
     replies = words.union(pairs).where(F.col("block") != STATS)
     shared = cut(shares(laid, replies, model, buckets), "shares")
-    release(spark)
     more = cut(history_answers(asks, shared, buckets), "histories")
     discard(asks, shared)
-    release(spark)
     out = scored(laid, replies.union(more), model, buckets)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE
+from .shared import SPACE, bound
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -43,8 +43,8 @@ class Rule:
     least: float | None = None
     most: float | None = None
 
-    def column(self) -> Column:
-        top, bottom = F.col(self.number).cast("double"), F.col(self.per).cast("double")
+    def column(self, measures: Column) -> Column:
+        top, bottom = measures[self.number].cast("double"), measures[self.per].cast("double")
         checks = [top >= F.lit(self.least) * bottom] if self.least is not None else []
         checks += [top <= F.lit(self.most) * bottom] if self.most is not None else []
         return reduce(Column.__and__, checks)
@@ -63,38 +63,68 @@ RULES = (
 )
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measures as columns."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    names = ["n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_stutters"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    a = docs.select(*kept, F.array_remove(F.split(raw, SPACE), "").alias("__w"), F.filter(F.split(raw, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__l"), raw.alias("__t"))
-    b = a.withColumns(
-        {
-            "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-            "n_symbols": (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long"),
-            "n_marks": (F.length("__t") - F.length(F.translate("__t", "!?", ""))).cast("long"),
-            "n_lines": F.size("__l").cast("long"),
-            "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-            "n_stop_words": F.size(F.filter("__w", lambda w: F.lower(F.regexp_replace(w, PUNCTUATION, "")).isin(*STOP_WORDS))).cast("long"),
-            "__wh": F.transform("__w", lambda w: F.xxhash64(w)),
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_stutters")
+
+
+def repeated(g: Column) -> Column:
+    """Words that lie in a window whose hash stands twice or more in g, the hashes of all windows in order."""
+
+    def positions(s: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.try_element_at(s, k)["g"] == x["g"], F.lit(False))
+        twice = F.filter(s, lambda x, i: ((i > 0) & same(x, F.greatest(i, F.lit(1)))) | same(x, i + 2))
+        return F.array_sort(F.transform(twice, lambda x: x["i"]))
+
+    def covered(p: Column) -> Column:
+        step = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.try_element_at(p, i + 2) - x, F.lit(WINDOW))))
+        return F.aggregate(step, F.lit(0), lambda x, y: x + y)
+
+    ordered = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(g)) < F.size(g), bound(bound(ordered, positions), covered)).otherwise(0)
+
+
+def measured(text: Column) -> Column:
+    """One struct of all measures of a text. Every intermediate value is bound, so a filter on it costs no more than the struct."""
+
+    def counts(s: Column) -> Column:
+        w, lines, t, h = s["w"], s["l"], s["t"], s["h"]
+        n = F.size(h) - WINDOW + 1
+        windows = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))).otherwise(F.array().cast("array<long>"))
+        made = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+            "n_marks": F.length(t) - F.length(F.translate(t, "!?", "")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": bound(windows, repeated),
+            "n_stop_words": F.size(F.filter(w, lambda x: F.lower(F.regexp_replace(x, PUNCTUATION, "")).isin(*STOP_WORDS))),
+            "n_stutters": F.size(F.filter(h, lambda x, i: (i > 0) & (F.try_element_at(h, F.greatest(i, F.lit(1))) == x))),
         }
-    )
-    n = F.size("__wh") - WINDOW + 1
-    b = b.withColumn("n_stutters", F.size(F.filter("__wh", lambda w, i: (i > 0) & (F.try_element_at("__wh", F.greatest(i, F.lit(1))) == w))).cast("long"))
-    c = b.withColumn("__g", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("__wh", i, WINDOW)))))
-    d = c.withColumn("__s", F.when(F.size(F.array_distinct("__g")) < F.size("__g"), F.array_sort(F.transform("__g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    same = lambda x, k: F.coalesce(F.try_element_at("__s", k)["g"] == x["g"], F.lit(False))
-    e = d.withColumn("__p", F.array_sort(F.transform(F.filter("__s", lambda x, i: ((i > 0) & same(x, F.greatest(i, F.lit(1)))) | same(x, i + 2)), lambda x: x["i"])))
-    step = F.transform("__p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.try_element_at("__p", i + 2) - p, F.lit(WINDOW))))
-    out = e.withColumn("n_repeat_words", F.coalesce(F.aggregate(step, F.lit(0), lambda x, y: x + y), F.lit(0)).cast("long"))
-    return out.drop("__w", "__l", "__t", "__wh", "__g", "__s", "__p")
+        return F.struct(*[made[m].cast("long").alias(m) for m in MEASURES], F.lit(1).alias("one"))
+
+    def hashed(s: Column) -> Column:
+        return F.struct(s["w"].alias("w"), s["l"].alias("l"), s["t"].alias("t"), F.transform(s["w"], lambda x: F.xxhash64(x)).alias("h"))
+
+    raw = F.coalesce(text, F.lit(""))
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    split = bound(raw, lambda t: F.struct(F.array_remove(F.split(t, SPACE), "").alias("w"), lines(t).alias("l"), t.alias("t")))
+    return bound(bound(split, hashed), counts)
+
+
+def judged(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One struct of the measures, base_failed and kept."""
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+        kept = reduce(Column.__and__, [r.column(m) for r in rules], ~failed)
+        return F.struct(*[m[x].alias(x) for x in MEASURES], failed.alias("base_failed"), F.coalesce(kept, F.lit(False)).alias("kept"))
+
+    return bound(measured(text), verdict)
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the measures, base_failed and kept."""
-    m = measures(docs.drop("base_failed", "kept"), text)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    verdict = reduce(Column.__and__, [r.column() for r in rules])
-    return m.withColumn("one", F.lit(1)).withColumns({"base_failed": failed, "kept": ~failed & verdict}).drop("one")
+    new = (*MEASURES, "base_failed", "kept")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    told = docs.select(*rest, judged(F.col(f"`{text}`"), rules).alias("__judged"))
+    return told.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[F.col("__judged")[x].alias(x) for x in new])

@@ -7,7 +7,9 @@ character that no piece covers costs `unknown` and becomes its bytes' pieces (or
 
 Pieces never hold the blank mark after another character, nor certain characters (line feeds, in
 the usual files) beside any other; the text is cut there, which changes no segmentation, and
-equal cuts are looked up rather than read again. The lookup table is emptied when it is full.
+equal cuts are looked up rather than read again. The lookup table is bounded in bytes and emptied when
+it is full; a worker takes SLICE rows of an Arrow batch at once, so it never holds more than their
+ids. `transcode` does both directions in one pass and returns figures instead of ids and texts.
 
 Defined results: null and empty text have no ids and score 0 and decode to the empty text. Ties take
 the longest last piece. Texts are encoded whole; repeated rows are encoded one by one; other
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +34,9 @@ from .shared import append_columns
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
+#: Bytes of the lookup table of a worker (about ENTRY each plus what is stored), and rows taken at once.
+CACHE_BYTES, ENTRY = 48 << 20, 300
+SLICE = 256
 
 
 def varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -85,10 +91,10 @@ class Pieces:
 class Codec:
     """Encoder and decoder of one model; built once a worker."""
 
-    def __init__(self, pieces: Pieces, most: int = 300_000) -> None:
+    def __init__(self, pieces: Pieces, cache_bytes: int = CACHE_BYTES) -> None:
         import ahocorasick
 
-        self.pieces, self.most, self.known = pieces, most, {}
+        self.pieces, self.most, self.held, self.known = pieces, cache_bytes, 0, {}
         self.automaton = ahocorasick.Automaton()
         plain = [i for i, k in enumerate(pieces.kind) if k in (NORMAL, USER)]
         for i in plain:
@@ -146,10 +152,15 @@ class Codec:
         for cut in [marked] if self.whole else self.cuts.findall(marked):
             got = known.get(cut)
             if got is None:
-                if len(known) >= self.most:
-                    known.clear()
                 path, score = self.viterbi(cut)
-                got = known[cut] = np.array(path, "<u4").tobytes(), score
+                got = np.array(path, "<u4").tobytes(), score
+                size = ENTRY + 4 * len(cut) + len(got[0])
+                if self.held + size > self.most:
+                    known.clear()
+                    self.held = 0
+                if size <= self.most:
+                    known[cut] = got
+                    self.held += size
             ids.append(got[0])
             total += got[1]
         return b"".join(ids), total
@@ -190,7 +201,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
         got = [coder.encode(t) for t in texts]
         return [pa.array([g[0] for g in got], pa.binary()), pa.array([len(g[0]) // 4 for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())]
 
-    return append_columns(docs, [text], [T.StructField("ids", T.BinaryType()), T.StructField("n_ids", T.LongType()), T.StructField("score", T.DoubleType())], make)
+    return append_columns(docs, [text], [T.StructField("ids", T.BinaryType()), T.StructField("n_ids", T.LongType()), T.StructField("score", T.DoubleType())], make, SLICE)
 
 
 def decode(docs: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
@@ -200,4 +211,18 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
         coder = codec(model_path)
         return [pa.array([coder.decode(v or b"") for v in values], pa.string())]
 
-    return append_columns(docs, [ids], [T.StructField("decoded", T.StringType())], make)
+    return append_columns(docs, [ids], [T.StructField("decoded", T.StringType())], make, SLICE)
+
+
+def transcode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """docs with n_ids, ids_crc32, score and round_trip (whether decoding gives the text back), in one pass over the texts."""
+
+    def make(texts: list[str | None]) -> list:
+        coder, rows = codec(model_path), []
+        for t in texts:
+            ids, score = coder.encode(t)
+            rows.append((len(ids) // 4, zlib.crc32(ids), score, coder.decode(ids) == (t or "")))
+        return [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))]
+
+    new = [T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("round_trip", T.BooleanType())]
+    return append_columns(docs, [text], new, make, SLICE)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,11 +18,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only where none is configured."""
+    """The folder that driver and executors share. Only a session that runs in one process may go without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         found = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -43,12 +42,9 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, which it does for plans that are garbage."""
-    for _ in range(2):  # the first round frees what the second round's references hung on
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, however often `use` names it and wherever a filter is moved to."""
+    return F.transform(F.array(value), use)[0]
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -70,8 +66,15 @@ def words_of(text: str | None, fold: bool = True) -> list[bytes]:
     return (raw.lower() if fold else raw).split()
 
 
-def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[..., list]) -> DataFrame:
-    """df with further columns from make(*input columns as Python lists) for each Arrow batch.
+def small(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[..., list], at_once: int = 10_000) -> DataFrame:
+    """df with further columns from make(*input columns as Python lists), called with at most at_once rows.
 
     A column of df whose name is taken by a new field is replaced.
     """
@@ -82,7 +85,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, at_once):
             made = make(*[batch.column(n + i).to_pylist() for i in range(len(inputs))])
             columns = [batch.column(i) for i in range(n)] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made]
             yield pa.RecordBatch.from_arrays(columns, names=kept + new)
