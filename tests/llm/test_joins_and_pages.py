@@ -245,3 +245,17 @@ def test_pipeline(spark):
     packed = run.run(spark, DATA)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.collect()}
     assert run.one_of_each(spark, spark.createDataFrame([(None, "a b c d e", "en", "s", 9), (1, "a b c d e f g", "en", "s", 9), (1, "a b c d e f g", "en", "s", 9)], docs.schema), DATA).count() == 2
+
+
+@pytest.mark.parametrize("size", [1 << 20, 7])
+def test_word_hashes_and_shingles(monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "BYTES", size)
+    texts = [None, "", " ", "a", "A", "ab a\tb\x0bAB é É 😀", "x" * 50, "one two three four five", "ONE two\nthree  four", *near_copies()[9:30]]
+    named = {}
+    for text, h in zip(texts, ngram_join.shingled(texts, 4), strict=True):
+        words = (text or "").encode().lower().split()
+        plain = {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+        assert len(h) == len(plain) and (np.diff(h.astype(object)) > 0).all()
+        for t in [tuple(words[i : i + 4]) for i in range(len(words) - 3)]:
+            one = next(iter(ngram_join.shingled([b" ".join(t).decode()], 4)))
+            assert one[0] in h and named.setdefault(int(one[0]), t) == t
