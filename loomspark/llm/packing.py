@@ -14,6 +14,7 @@ packs the same again.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,16 @@ SIGNS = b".,;:!?*#$%&"
 CAPACITY = 4096
 OPEN_BINS = 2048
 TOKENS_PER_PACKER = 1 << 25
+#: Runs of letters that the tokenizer is given as one text.
+AT_ONCE = 256
 
 
 class WordTokens:
     """Token ids of texts, by a cache of blank-free runs.
 
     The tokenizer never joins what a blank separates, so a text's ids are the ids of its
-    blank-separated runs in order. The cache is emptied when it holds `most` runs.
+    blank-separated runs in order. When the cache would hold over `most` runs, only those
+    of the texts in hand stay.
     """
 
     def __init__(self, path: str, most: int = 1_000_000) -> None:
@@ -47,21 +51,35 @@ class WordTokens:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, runs: list[bytes]) -> None:
-        """Code runs; letters with common signs behind them are coded as the two parts the tokenizer makes of them."""
-        parts = {}
+    def code(self, runs: list[bytes]) -> None:
+        """Enter the ids of runs; AT_ONCE runs of letters go as one text, which counts only if each came out as one word."""
+        known, alone, letters = self.known, [], []
         for run in runs:
+            text = run.decode()
+            (letters if text.isalpha() else alone).append((run, text))
+        for at in range(0, len(letters), AT_ONCE):
+            some = letters[at : at + AT_ONCE]
+            coded = self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False)
+            edge = [0, *(np.flatnonzero(np.diff(coded.word_ids)) + 1).tolist(), len(coded.ids)]
+            if len(edge) - 1 != len(some):
+                alone += some
+                continue
+            ids = array("I", coded.ids).tobytes()
+            known.update((run, ids[4 * x : 4 * y]) for (run, _), x, y in zip(some, edge, edge[1:], strict=False))
+        coded = self.tokenizer.encode_batch([t for _, t in alone], add_special_tokens=False)
+        known.update((run, array("I", c.ids).tobytes()) for (run, _), c in zip(alone, coded, strict=True))
+
+    def learn(self, split: list[list[bytes]]) -> None:
+        """Code all runs of these texts that aren't known; letters with common signs behind them are coded as the two parts the tokenizer makes of them."""
+        new = {r for runs in split for r in runs if r not in self.known}
+        if len(self.known) + 2 * len(new) > self.most:
+            self.known = {r: self.known[r] for runs in split for r in runs if r in self.known}
+        known, parts = self.known, {}
+        for run in new:
             stem = run.rstrip(SIGNS)
             if len(stem) < len(run) and stem.decode().isalpha():
                 parts[run] = stem, run[len(stem) :]
-        known = self.known
-        bare = {x for run in runs for x in parts.get(run, (run,)) if x not in known}
-        if len(known) + len(runs) + len(bare) > self.most:
-            known.clear()
-            bare = {x for run in runs for x in parts.get(run, (run,))}
-        listed = list(bare)
-        coded = self.tokenizer.encode_batch([r.decode() for r in listed], add_special_tokens=False)
-        known.update((r, np.array(c.ids, "<u4").tobytes()) for r, c in zip(listed, coded, strict=True))
+        self.code(list({x for run in new for x in parts.get(run, (run,)) if x not in known}))
         known.update((run, known[stem] + known[tail]) for run, (stem, tail) in parts.items())
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
@@ -70,17 +88,9 @@ class WordTokens:
         raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
         # lower case as the tokenizer does, but for its special tokens
         split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        out, known = [], self.known
-        new = {r for runs in split for r in runs if r not in known}
-        if new:
-            self.learn(list(new))
-        for runs in split:
-            try:
-                out.append(b"".join([*map(known.__getitem__, runs), end]))
-            except KeyError:  # the cache was emptied on the way
-                self.learn(list(set(runs)))
-                out.append(b"".join([*map(known.__getitem__, runs), end]))
-        return out
+        self.learn(split)
+        get = self.known.__getitem__
+        return [b"".join([*map(get, runs), end]) for runs in split]
 
 
 _TOKENIZERS: dict[str, WordTokens] = {}

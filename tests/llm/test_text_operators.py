@@ -223,7 +223,19 @@ def test_tokens_and_packing(spark, docs):
     for parts in filled.values():
         parts.sort()
         assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 4096
-    assert packing.pack(pieces.where("false").drop("ids")).count() == 0
+    assert packing.pack(pieces.where("false").drop("ids")).count() == 0 and packing.tokenize(rows.where("false"), path).count() == 0
+    clash = packing.pack(pieces.select("doc_id", "piece", "length", F.lit("x").alias("offset"), F.lit("y").alias("sequence_id")).limit(50))
+    assert dict(clash.dtypes)["offset"] == "bigint" and clash.count() == 50
+
+
+@pytest.mark.parametrize("most", [10, 1_000_000])
+def test_word_cache_against_the_tokenizer(docs, most):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = packing.WordTokens(path, most)
+    texts = [*ODD, "İstanbul ǅ ﬁ Å e\u0301a", "don't we'll café, naïve!! 𝔘nicode", "<|endoftext|> <|x", *[r.text for r in docs.limit(60).collect()]]
+    for at in range(0, len(texts), 7):
+        for text, ids in zip(texts[at : at + 7], coder.ids(texts[at : at + 7]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
 
 
 def test_best_fit_against_a_list():
