@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import importlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -222,6 +222,80 @@ def test_odd_pages(spark):
     assert html_text.extract_text(table).count() == len(rows) and html_text.extract_text(table.where("false")).count() == 0
 
 
+def test_deep_and_long_pages():
+    for tag in ("div", "x", "p", "ul><li", "table><tr><td"):
+        assert html_text.induce([f"<{tag}>" * 100_000 + "deep <b>x</b>"]) == ["deep x"]
+    deep = "".join(f"<div>t{i}" for i in range(3000)) + "".join(f"</div>u{i}" for i in range(3000))
+
+    def blocks(node):
+        for kid in node.kids:
+            yield from kid.blocks if kid.sig == "#text" else blocks(kid)
+
+    assert list(blocks(html_text.parse(deep))) == [f"t{i}" for i in range(3000)] + [f"u{i}" for i in range(3000)]
+    assert html_text.induce(["<div>" * 300 + "a<nav>b<div>c</div>d</nav>e"]) == ["a e"]
+    lists = ["<dl>" + "".join(f"<dt>a{i} {j}<dd>b{j} {i}" for i in range(700)) + "</dl>" for j in range(5)]
+    assert html_text.induce(lists) == [" ".join(f"a{i} {j} b{j} {i}" for i in range(700)) for j in range(5)]
+
+
+def test_matching_against_all_matchings():
+    """Simple tree matching pairs as many nodes as the best of all order-preserving matchings."""
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        return [(str(rng.choice(list("abc"))), tree(depth - 1)) for _ in range(int(rng.integers(0, 4)))] if depth else []
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        (a, below_a), (b, below_b) = xs[-1], ys[-1]
+        return max(best(xs[:-1], ys), best(xs, ys[:-1]), best(xs[:-1], ys[:-1]) + 1 + best(below_a, below_b) if a == b else 0)
+
+    def slots(t):
+        return [html_text.Slot(sig, slots(below)) for sig, below in t]
+
+    def nodes(t):
+        out = []
+        for sig, below in t:
+            node = html_text.Node(sig, sig)
+            node.kids = nodes(below)
+            out.append(node)
+        return out
+
+    for _ in range(60):
+        x, y = tree(3), tree(3)
+        left, right = slots(x), nodes(y)
+        weight, pairs = html_text.matching(left, right, {})
+        assert weight == best(x, y) and all(left[i].sig == right[j].sig for i, j in pairs) and pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        long = html_text.in_order(left, right)
+        assert all(left[i].sig == right[j].sig for i, j in long) and all(a < c and b < d for (a, b), (c, d) in zip(long, long[1:], strict=False))
+
+
+def test_the_template_decides_without_names():
+    """Pages of neutral tags: with no template the constant parts between and around the paragraphs stay in the text."""
+    stories = [[f"Story {i} part {k} tells of {i * 7 + k} things in {i * k + 3} places" for k in range(4)] for i in range(12)]
+    pages = [f"<div><div>Part of the daily group</div><div><p>{s[0]}</p><p>Sign in to keep reading stories like this one</p><p>{s[1]}</p><div>Our readers fund us</div><p>{s[2]}</p><p>{s[3]}</p><p>Write to the desk</p></div></div>" for s in stories]
+    want = [" ".join(s) for s in stories]
+    plain = [html_text.extract(html_text.fold(html_text.parse(p)), {}) for p in pages]
+
+    def f1(got):
+        scores = []
+        for a, b in zip(got, want, strict=True):
+            x, y = a.split(), b.split()
+            both = sum((Counter(x) & Counter(y)).values())
+            scores.append(2 * both / (len(x) + len(y)))
+        return np.mean(scores)
+
+    assert html_text.induce(pages) == want and f1(plain) < 0.85
+
+
+@pytest.mark.parametrize("per_group", [8, 64])
+def test_groups_of_a_host_agree(spark, monkeypatch, per_group):
+    monkeypatch.setattr(html_text, "PER_GROUP", per_group)
+    rows = [(i, f"http://h/{i}", f"<div><p>Today only</p><p>Story {i} tells of {i * 7} things</p><p>and {i * 3} more</p></div><div><p>All rights reserved by us</p></div>") for i in range(200)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story {i} tells of {i * 7} things and {i * 3} more" for i in range(200)}
+
+
 def test_articles_of_the_test_pages(spark):
     import html
     import re
