@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
-import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+#: Ranges of nearest_rank; a given number keeps both reads of the ranges alike.
+PARTS = 256
 CLASSES = ("reminder", "emotional-support", "action-item", "small-talk")
 #: Own default templates and slot values; both are arguments.
 TEMPLATES = {
@@ -27,23 +31,62 @@ SLOTS = {
     "when": ("tomorrow", "at noon", "on friday", "next week", "tonight", "in an hour", "on monday morning", "by five"),
     "topic": ("the exam", "my job", "the match", "the move", "the new show", "my sister", "the project", "the party"),
     "feeling": ("sad", "lonely", "anxious", "overwhelmed", "hopeless", "worried", "hurt", "exhausted"),
-    "person": ("anna", "ben", "the team", "my boss", "carla", "david", "the intern", "my neighbour"),
+    "person": ("anna", "ben", "the team", "my boss", "carla", "david", "the trainee", "my neighbour"),
 }
 OPENERS = ("", "hey, ", "um, ", "so ", "okay, ", "well, ")
 TAILS = ("", "!", ".", " please", "...")
+#: Own rows on the border of two classes; each is added as it is and once more augmented.
+HARD_CASES = {
+    "reminder": ("don't let it slip my mind", "i always forget the bins, nudge me", "put friday's deadline in my calendar", "wake me before the call"),
+    "emotional-support": ("i just need someone to listen", "nothing went right and i want to cry", "the report broke me today", "i miss how things were"),
+    "action-item": ("i'll take the slides, you take the numbers", "the contract has to be out by five", "let's close this ticket today", "someone has to call the client"),
+    "small-talk": ("i forgot how good that show is", "i'm not sad it rained, it was nice", "the meeting was funny today", "anything fun planned"),
+}
+#: Words and what the augmentation may put in their place, and its fillers; both are arguments.
+SYNONYMS = {"remind": ("alert", "notify", "nudge"), "please": ("pls", "kindly"), "we should": ("we must", "let us"), "feel": ("am feeling",), "how": ("so how",)}
+FILLERS = ("um", "uh", "like", "so", "well", "hmm")
+
+
+def picked(values: Sequence[str], salt: str, seed: int) -> Column:
+    """One of values, by a seeded hash of the row's intent, template and number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("intent", "i", "n", F.lit(salt), F.lit(seed)), F.lit(len(values))) + 1).cast("int"))
+
+
+def changed(text: Column, turn: str, seed: int, synonyms: Mapping[str, Sequence[str]], fillers: Sequence[str]) -> Column:
+    """One change of a text, or none: a synonym, a filler at an end, another case, other punctuation."""
+    swaps = [F.when(F.lower(text).contains(w), F.regexp_replace(text, f"(?i){w}", picked(to, f"{turn} {w}", seed))) for w, to in synonyms.items()]
+    filler = picked(fillers, f"{turn} filler", seed)
+    placed = F.when(picked(("front", "end"), f"{turn} place", seed) == "front", F.concat_ws(" ", filler, text)).otherwise(F.concat_ws(" ", text, filler))
+    case = picked(("lower", "title", "upper"), f"{turn} case", seed)
+    cased = F.when(case == "lower", F.lower(text)).when(case == "title", F.initcap(text)).when(F.length(text) < 50, F.upper(text)).otherwise(text)
+    ended = F.concat(F.regexp_replace(text, r"[.!?]+$", ""), picked(("!", "!!", "...", "?", ""), f"{turn} end", seed))
+    change = picked(("none", "synonym", "filler", "case", "end"), f"{turn} change", seed)
+    return F.when(change == "synonym", F.coalesce(*swaps, text)).when(change == "filler", placed).when(change == "case", cased).when(change == "end", ended).otherwise(text)
+
+
+def augmented(text: Column, seed: int, synonyms: Mapping[str, Sequence[str]] = SYNONYMS, fillers: Sequence[str] = FILLERS) -> Column:
+    """Up to two changes of a text, each computed once a row (bound by an array of one)."""
 
+    def once(value: Column, turn: str) -> Column:
+        return F.transform(F.array(value), lambda x: changed(x, turn, seed, synonyms, fillers))[0]
 
-def generated(spark: SparkSession, per_class: int = 300, seed: int = 42, templates: Mapping[str, Sequence[str]] = TEMPLATES, slots: Mapping[str, Sequence[str]] = SLOTS) -> DataFrame:
-    """(id, text, intent): distinct fillings of the templates, picked by a seeded hash; same rows on every run."""
+    return F.trim(once(once(text, "first"), "second"))
+
+
+def generated(spark: SparkSession, per_class: int = 300, seed: int = 42, templates: Mapping[str, Sequence[str]] = TEMPLATES, slots: Mapping[str, Sequence[str]] = SLOTS, hard: Mapping[str, Sequence[str]] = HARD_CASES) -> DataFrame:
+    """(id, text, intent): per_class distinct augmented fillings of the templates of each class, picked by a seeded hash, and the hard cases plain and augmented; same rows on every run."""
     rows = spark.createDataFrame([(k, i, t) for k, ts in templates.items() for i, t in enumerate(ts)], "intent string, i int, template string")
-    pick = lambda values, salt: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("intent", "i", "n", F.lit(salt), F.lit(seed)), F.lit(len(values))) + 1).cast("int"))
-    text = F.concat(pick(OPENERS, "opener"), F.col("template"), pick(TAILS, "tail"))
+    text = F.concat(picked(OPENERS, "opener", seed), F.col("template"), picked(TAILS, "tail", seed))
     for name, values in slots.items():
-        text = F.replace(text, F.lit("{" + name + "}"), pick(values, name))
-    filled = rows.crossJoin(spark.range(2 * per_class).withColumnRenamed("id", "n")).select("intent", F.lower(text).alias("text")).distinct()
+        text = F.replace(text, F.lit("{" + name + "}"), picked(values, name, seed))
+    numbered = rows.join(F.broadcast(spark.range(4 * per_class).withColumnRenamed("id", "n")), F.lit(True))
+    filled = numbered.withColumn("text", text).select("intent", augmented(F.col("text"), seed).alias("text")).distinct()
     place = F.row_number().over(Window.partitionBy("intent").orderBy(F.xxhash64("text", F.lit(seed)), "text"))
-    kept = filled.withColumn("n", place).where(F.col("n") <= per_class)
-    return kept.select(F.xxhash64("intent", "text").alias("id"), "text", "intent")
+    kept = filled.withColumn("n", place).where(F.col("n") <= per_class).select("intent", "text", F.lit("template").alias("kind"))
+    if hard:
+        cases = spark.createDataFrame([(k, i, 0, t) for k, ts in hard.items() for i, t in enumerate(ts)], "intent string, i int, n long, text string")
+        kept = kept.union(cases.select("intent", "text", F.lit("hard"))).union(cases.select("intent", augmented(F.col("text"), seed), F.lit("augmented")))
+    return kept.select(F.xxhash64("intent", "text", "kind").alias("id"), "text", "intent")
 
 
 def split(rows: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +122,7 @@ def weights(train: DataFrame, column: str, max_df: float, most: int) -> tuple[li
 
 
 class IntentModel:
-    """A fitted classifier with its two TF-IDF blocks."""
+    """A fitted classifier with its two TF-IDF blocks; save() and load() keep all of it."""
 
     def __init__(self, blocks: dict[str, tuple[list[str], list[float]]], model: PipelineModel, classes: Sequence[str]) -> None:
         self.blocks, self.model, self.classes = blocks, model, tuple(classes)
@@ -87,6 +130,22 @@ class IntentModel:
     def vectors(self, rows: DataFrame) -> DataFrame:
         return vectorised(rows, self.blocks)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The regression, the vocabularies with their idf values and the class names, as folders below path."""
+        self.model.write().overwrite().save(f"{path}/regression")
+        terms = [(b, i, t, idf) for b, (ts, idfs) in self.blocks.items() for i, (t, idf) in enumerate(zip(ts, idfs, strict=True))]
+        spark.createDataFrame(terms, "block string, place int, term string, idf double").write.mode("overwrite").parquet(f"{path}/terms")
+        spark.createDataFrame(list(enumerate(self.classes)), "place int, class string").write.mode("overwrite").parquet(f"{path}/classes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IntentModel:
+        blocks: dict[str, tuple[list[str], list[float]]] = {"words": ([], []), "letters": ([], [])}
+        for r in spark.read.parquet(f"{path}/terms").orderBy("block", "place").collect():  # bounded by the vocabularies
+            blocks[r["block"]][0].append(r["term"])
+            blocks[r["block"]][1].append(r["idf"])
+        classes = [r["class"] for r in spark.read.parquet(f"{path}/classes").orderBy("place").collect()]
+        return cls(blocks, PipelineModel.load(f"{path}/regression"), classes)
+
     def predict(self, rows: DataFrame, reject: float = 0.45) -> DataFrame:
         """rows with intent_pred, confidence and all_probabilities; below `reject` the intent is unknown."""
         p = self.model.transform(self.vectors(rows)).withColumn("p", vector_to_array("probability"))
@@ -97,28 +156,35 @@ class IntentModel:
 
 
 def vectorised(rows: DataFrame, blocks: dict[str, tuple[list[str], list[float]]]) -> DataFrame:
-    """rows with the concatenated TF-IDF blocks as a sparse vector, built from terms joined to the bounded vocabularies."""
-    out = features(rows)
-    for name, (terms, _) in blocks.items():
-        out = CountVectorizerModel.from_vocabulary(terms, inputCol=name, outputCol=f"{name}_tf").transform(out)
-    return out.withColumn("features", joined([idf for _, idf in blocks.values()])(*[f"{name}_tf" for name in blocks]))
-
+    """rows with the TF-IDF blocks end to end as a sparse vector: (1 + ln tf) idf, each block scaled to unit length.
 
-def joined(idfs: Sequence[Sequence[float]]):
-    """The count vectors as (1 + ln tf) idf, each scaled to unit length, end to end."""
-    tables = [np.array(x) for x in idfs]
-
-    def scale(*counts):
-        at, values, before = [], [], 0
-        for v, table in zip(counts, tables, strict=True):
-            x = (1 + np.log(v.values)) * table[v.indices] if len(v.indices) else v.values
-            at.append(v.indices + before)
-            values.append(x / max(1e-12, float(np.sqrt((x * x).sum()))))
-            before += len(table)
-        return SparseVector(before, np.concatenate(at), np.concatenate(values))
-
-    # kept apart from the array functions above it, which may not hold a Python function
-    return F.udf(scale, VectorUDT()).asNondeterministic()
+    Terms are looked up in Arrow batches; the vocabularies, bounded by `most`, travel with the tasks.
+    """
+    places, size = [], 0
+    for terms, idfs in blocks.values():
+        places.append({t: (size + i, idf) for i, (t, idf) in enumerate(zip(terms, idfs, strict=True))})
+        size += len(terms)
+    held = features(rows)
+    kept, names = list(rows.columns), list(blocks)
+    n = len(kept)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, values = [], []
+            for terms in zip(*[batch.column(n + i).to_pylist() for i in range(len(names))], strict=True):
+                row: list[tuple[int, float]] = []
+                for found, place in zip(terms, places, strict=True):
+                    some = [(place[t][0], (1 + math.log(k)) * place[t][1]) for t, k in Counter(found or ()).items() if t in place]
+                    norm = math.sqrt(sum(x * x for _, x in some)) or 1.0
+                    row += sorted((i, x / norm) for i, x in some)
+                at.append([i for i, _ in row])
+                values.append([x for _, x in row])
+            columns = [*batch.columns[:n], pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "at", "values"])
+
+    schema = StructType([*rows.schema.fields, StructField("at", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
+    vector = F.udf(lambda at, values: SparseVector(size, at, values), VectorUDT())
+    return held.select(*kept, *names).mapInArrow(look_up, schema).withColumn("features", vector("at", "values")).drop("at", "values")
 
 
 def train(rows: DataFrame, classes: Sequence[str] = CLASSES, c: float = 1.0, max_df: float = 0.95, most: int = 30_000, iterations: int = 100) -> IntentModel:
@@ -164,7 +230,7 @@ def nearest_rank(rows: DataFrame, value: str, shares: Sequence[float] = (0.5, 0.
     values cost one row.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    ranged = counted.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    ranged = counted.repartitionByRange(PARTS, "v").withColumn("part", F.spark_partition_id())
     parts = ranged.groupBy("part").agg(F.sum("k").alias("k"))
     before = parts.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("k").over(Window.partitionBy(F.lit(1))).alias("n"))
     upto = F.sum("k").over(Window.partitionBy("part").orderBy("v"))

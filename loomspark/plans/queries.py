@@ -465,8 +465,8 @@ def embed_text(spark, sf):
 
 @query()
 def intent_predict(spark, sf):
-    train, test = intent.split(intent.generated(spark, per_class=120))
-    return intent.train(train, iterations=40).predict(test).select("id", "intent", "intent_pred", "confidence")
+    train, test = intent.split(intent.generated(spark))
+    return intent.train(train).predict(test).select("id", "intent", "intent_pred", "confidence")
 
 
 FLAGSHIP = mood_drift

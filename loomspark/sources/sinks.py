@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.intent import IntentModel
+
 
 def save(df: DataFrame, path: str, json: bool = False) -> None:
     """Overwrite path with df; json adds a line-delimited export beside it."""
@@ -23,12 +24,13 @@ def save_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: IntentModel, spark: SparkSession, path: str) -> None:
+    """The whole classifier: regression, vocabularies, idf values and class names."""
+    model.save(spark, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> IntentModel:
+    return IntentModel.load(spark, path)
 
 
 def as_json(df: DataFrame) -> DataFrame:
