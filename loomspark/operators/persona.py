@@ -91,7 +91,8 @@ def evidence(messages: DataFrame, cues: Mapping[str, tuple[Sequence[str], int]]
     line = F.concat(F.lit("[Msg "), F.col("global_index").cast("string"), F.lit("] "), F.left("text", F.lit(300)))
     rows = messages.select("speaker", "global_index", line.alias("line"), F.inline(F.filter(tried, lambda x: x["on"])))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("speaker", "category").orderBy("global_index")))
-    return ranked.where("rank <= most").select("speaker", "category", "rank", "line")
+    # the literal bound lets each task keep only so many rows a group before the shuffle
+    return ranked.where(F.col("rank") <= max((n for _, n in cues.values()), default=0)).where("rank <= most").select("speaker", "category", "rank", "line")
 
 
 def ordered(rows: DataFrame, name: str, fields: Sequence[str], by: Sequence[str]) -> DataFrame:

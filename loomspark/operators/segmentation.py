@@ -2,8 +2,10 @@
 
 Windows run inside blocks of the dense index. A row near a block's edge is also given to the
 neighbour, so that every frame is whole; only a block's own rows are kept. The greedy minimum-gap
-rule is a fold over runs of candidates: a candidate at least `gap` after the previous candidate is
-always accepted, so a fold never has to look beyond the start of its run.
+rule needs of the past only how far back the last accepted candidate lies, up to `gap`. So each block
+of candidates is a map of gap states; the maps of GROUP blocks are composed into one, the groups'
+maps give the state each group starts in, then each block's, then the accepted candidates. No step
+holds more than one block, one group of blocks, or a number for each group, one for GROUP * SPAN messages.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from ..functions.text import alpha_tokens, contains_any, names, without
 from ..functions.vectors import added, cosine
 
 BLOCK = 4096
+#: Positions in a block of the gap rule, and blocks in a group.
+SPAN, GROUP = 512, 4096
 WIDTH = 5
 THRESHOLD = 0.45
 GAP = 3
@@ -53,26 +57,61 @@ def smoothed(sims: DataFrame, at: str, sim: str = "sim", block: int = BLOCK) ->
     return h.crossJoin(F.broadcast(n)).withColumn("smoothed", F.when(F.col("n") < 3, F.col(sim)).otherwise(F.col("mean"))).drop("mean", "n")
 
 
-def spaced(candidates: DataFrame, at: str, gap: int = GAP, block: int = BLOCK) -> DataFrame:
+def stepped(number: Column, states: Column, function: Column, before: Column, gap: int) -> Column:
+    """The states after one more block: its map applied, after a gap in the numbers to the state `gap`."""
+    return F.transform(states, lambda d: F.element_at(function, F.when(number == before + 1, d).otherwise(gap)))
+
+
+def composed(listed: Column, first: Column, last: Column, gap: int) -> Column:
+    """The map of blocks `first` to `last` from those of its blocks that hold candidates, a sorted array of (n, f)."""
+    start = F.struct((first - 1).alias("n"), F.sequence(F.lit(1), F.lit(gap)).alias("f"))
+    end = F.aggregate(listed, start, lambda acc, x: F.struct(x["n"].alias("n"), stepped(x["n"], acc["f"], x["f"], acc["n"], gap).alias("f")))
+    return F.transform(F.array(end), lambda e: F.when(e["n"] == last, e["f"]).otherwise(F.array_repeat(F.lit(gap), gap)))[0]
+
+
+def entries(listed: Column, first: Column, state: Column, gap: int) -> Column:
+    """(n, d): the state in which each block of a sorted array of (n, f) starts, `state` being that of block `first`."""
+    none = F.array().cast("array<struct<n:bigint,d:int>>")
+    start = F.struct((first - 1).alias("n"), state.cast("int").alias("d"), none.alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        d = F.when(x["n"] == acc["n"] + 1, acc["d"]).otherwise(gap).cast("int")
+        return F.struct(x["n"].alias("n"), F.element_at(x["f"], d).cast("int").alias("d"), F.array_append(acc["all"], F.struct(x["n"].alias("n"), d.alias("d"))).alias("all"))
+
+    return F.aggregate(listed, start, step)["all"]
+
+
+def spaced(candidates: DataFrame, at: str, gap: int = GAP, block: int = SPAN, group: int = GROUP) -> DataFrame:
     """The accepted positions: each candidate at least `gap` after the last accepted one; the first is accepted.
 
-    The run that a candidate is in starts at the last candidate whose predecessor is `gap` or more
-    before it. Run starts come from a haloed lag, run numbers from sums within and over blocks.
+    A state d is how far before a block's start the last accepted candidate lies, gap standing for all further back.
     """
-    w = Window.partitionBy("block").orderBy(at)
-    marked = haloed(candidates.select(at), at, gap, block).withColumn("fresh", F.coalesce((F.col(at) - F.lag(at).over(w) >= gap), F.lit(True))).where("own")
-    # a row that has no predecessor within the halo is at least gap away from any
-    per_block = marked.groupBy("block").agg(F.sum(F.col("fresh").cast("long")).alias("n"))
-    before = per_block.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    run = F.sum(F.col("fresh").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = marked.withColumn("run", run).join(before, "block").withColumn("run", F.col("run") + F.col("before"))
-    ordered = runs.groupBy("run").agg(F.array_sort(F.collect_list(at)).alias("c"))
+    if block < gap:
+        raise ValueError("a block must hold at least gap positions")
+    held = candidates.select(F.col(at).cast("long").alias("c")).withColumn("n", F.floor(F.col("c") / block)).groupBy("n").agg(F.array_sort(F.collect_set("c")).alias("c"))
+    start = F.col("n") * block
+    last = lambda d: F.aggregate("c", start - d, lambda l, c: F.when(c - l >= gap, c).otherwise(l))
+    maps = held.withColumn("f", F.transform(F.sequence(F.lit(1), F.lit(gap)), lambda d: F.least(F.lit(gap), start + block - last(d)).cast("int")))
+    grouped = maps.groupBy(F.floor(F.col("n") / group).alias("g")).agg(F.array_sort(F.collect_list(F.struct("n", "f"))).alias("fs"))
+    whole = grouped.select("g", composed(F.col("fs"), F.col("g") * group, (F.col("g") + 1) * group - 1, gap).alias("f"))
+    every = whole.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("g").alias("n"), "f"))).alias("fs")).where(F.size("fs") > 0)
+    states = every.select(F.inline(entries(F.col("fs"), F.col("fs")[0]["n"], F.lit(gap), gap))).toDF("g", "state")
+    inner = grouped.join(states, "g").select(F.inline(entries(F.col("fs"), F.col("g") * group, F.col("state"), gap)))
 
     def take(acc: Column, c: Column) -> Column:
-        return F.when((F.size(acc) == 0) | (c - F.element_at(acc, F.when(F.size(acc) == 0, 1).otherwise(-1)) >= gap), F.array_append(acc, c)).otherwise(acc)
+        ok = c - acc["last"] >= gap
+        return F.struct(F.when(ok, c).otherwise(acc["last"]).alias("last"), F.when(ok, F.array_append(acc["all"], c)).otherwise(acc["all"]).alias("all"))
+
+    none = F.struct((start - F.col("d")).cast("long").alias("last"), F.array().cast("array<bigint>").alias("all"))
+    return held.join(inner, "n").select(F.explode(F.aggregate("c", none, take)["all"]).alias(at))
+
 
-    kept = F.aggregate(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))), F.slice("c", 1, 1), take)
-    return ordered.select(F.explode(kept).alias(at))
+def before_blocks(totals: DataFrame, block: str, n: str, group: int = GROUP) -> DataFrame:
+    """(block, before): the sum of n over all earlier blocks, by groups of blocks; only the groups' sums meet in one task."""
+    sums = totals.groupBy(F.floor(F.col(block) / group).alias("g")).agg(F.sum(n).alias("s"))
+    above = sums.select("g", F.coalesce(F.sum("s").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("g").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return totals.withColumn("g", F.floor(F.col(block) / group)).withColumn("inside", inside).join(above, "g").select(block, (F.col("inside") + F.col("above")).alias("before"))
 
 
 def boundaries(sims: DataFrame, starts: DataFrame, at: str, threshold: float = THRESHOLD, gap: int = GAP, force_starts: bool = False, block: int = BLOCK) -> DataFrame:
@@ -82,7 +121,7 @@ def boundaries(sims: DataFrame, starts: DataFrame, at: str, threshold: float = T
     """
     low = sims.where(F.col("smoothed") < threshold).select((F.col(at) + 1).alias(at))
     first = starts.groupBy().agg(F.min(at).alias(at)).where(F.col(at).isNotNull())
-    found = spaced(low.union(starts.select(at)).union(first).distinct(), at, gap, block)
+    found = spaced(low.union(starts.select(at)).union(first).distinct(), at, gap)
     return found.union(starts.select(at)).distinct() if force_starts else found
 
 
@@ -90,7 +129,7 @@ def segmented(rows: DataFrame, bounds: DataFrame, at: str, block: int = BLOCK) -
     """rows with topic_id, the number of segment starts up to them, from 0."""
     marked = rows.join(bounds.select(at, F.lit(1).alias("cut")), at, "left").withColumn("block", F.floor(F.col(at) / block))
     n = marked.groupBy("block").agg(F.sum(F.coalesce("cut", F.lit(0))).alias("n"))
-    before = n.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = before_blocks(n, "block", "n")
     inside = F.sum(F.coalesce("cut", F.lit(0))).over(Window.partitionBy("block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("inside", inside).join(before, "block").withColumn("topic_id", (F.col("inside") + F.col("before") - 1).cast("long")).drop("cut", "block", "inside", "before")
 

@@ -297,19 +297,19 @@ def vector_topk(spark, sf):
     return retrieval.top_k(read(spark, sf, "embeddings"), first_vector(spark, sf), 10, "vec_id", "embedding").select("vec_id", F.round("relevance_score", 6).alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0 ORDER BY vec_id LIMIT 20), s AS (SELECT query_id, vec_id, list_dot_product(embedding::DOUBLE[], q.e) AS score FROM embeddings, q),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_dot_product(embedding::DOUBLE[], q.e) AS score FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def vector_topk_batch(spark, sf):
     e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    q = e.where("vec_id % 100 = 0").orderBy("vec_id").limit(20).withColumnRenamed("vec_id", "query_id")
+    q = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return retrieval.top_k_batch(e, q, 5, "vec_id", "query_id").withColumn("score", F.round("score", 6))
 
 
-@query("""WITH f AS (SELECT doc_id, text, 0.5 + (doc_id % 7) / 100.0 AS base FROM documents ORDER BY base DESC, doc_id LIMIT 50)
+@query("""WITH f AS (SELECT doc_id, text, 0.5 + (doc_id % 7) / 100.0 AS base FROM documents)
 SELECT doc_id, round(base + 0.1 * (contains(lower(text), 'thing')::INT + contains(lower(text), 'tion')::INT + contains(lower(text), 'que')::INT), 6) AS score FROM f""")
 def keyword_rerank(spark, sf):
-    f = read(spark, sf, "documents").select("doc_id", "text", (0.5 + (F.col("doc_id") % 7) / 100.0).alias("relevance_score")).orderBy(F.desc("relevance_score"), "doc_id").limit(50)
+    f = read(spark, sf, "documents").select("doc_id", "text", (0.5 + (F.col("doc_id") % 7) / 100.0).alias("relevance_score"))
     return retrieval.keyword_rerank(f, "what thing tion que", "text", "doc_id").select("doc_id", F.round("relevance_score", 6).alias("score"))
 
 
@@ -367,6 +367,19 @@ def contradiction_verb(spark, sf):
     return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "detail")
 
 
+ALL_CHECKS = f"""n AS (SELECT a.gi AS a, b.gi AS b, -0.7::DOUBLE AS c, 1 AS i, 'negation' AS type, array_to_string(list_sort(list_intersect(a.w, b.w)), ', ') AS detail FROM c a JOIN c b ON a.pos < b.pos WHERE len(list_intersect(a.w, b.w)) >= 2 AND a.neg <> b.neg),
+f AS (SELECT a.gi AS a, b.gi AS b, -round(least(abs(a.compound - b.compound) / 2, 1.0), 3) AS c, 0 AS i, 'sentiment_flip' AS type, '' AS detail {PAIRS} WHERE (a.compound > 0.3 AND b.compound < -0.3) OR (a.compound < -0.3 AND b.compound > 0.3)),
+v AS (SELECT a.gi AS a, b.gi AS b, -0.8::DOUBLE AS c, 2 AS i, 'verb' AS type, CASE {opposite_sql('a', 'b')} END AS detail {PAIRS}),
+u AS (SELECT * FROM n UNION ALL SELECT * FROM f UNION ALL SELECT * FROM v WHERE detail IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY c, i) AS place FROM u)"""
+
+
+@query(f"""WITH {MSGS}, {MENTIONS}, c AS (SELECT gi, pos, list_filter(list_distinct({BLANKS}), lambda x: length(x) > 2 AND x NOT IN ({listed(lex.CONTENT_STOP_WORDS)})) AS w, list_has_any({BLANKS}, ['was', 'by', 'from']) AS neg FROM r),
+{ALL_CHECKS.replace(", k AS (", ", best AS (")} SELECT a, b, type, round(-c, 3) AS confidence, detail FROM best WHERE place = 1""")
+def contradictions_all(spark, sf):
+    found = conflict.contradictions(mentions(spark, sf), negations=("was", "by", "from"), pairs=OPPOSITE)
+    return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("contradiction_type").alias("type"), F.round("confidence", 3).alias("confidence"), "detail")
+
+
 @query(f"WITH {MSGS} SELECT gi AS global_index, speaker FROM msgs ORDER BY gi LIMIT 20 OFFSET 40")
 def pagination(spark, sf):
     return retrieval.page(messages(spark, sf), "global_index", 3, 20).select("global_index", "speaker")
