@@ -318,7 +318,27 @@ def test_pipeline(spark):
     assert plain_links(texts, 5, 80)[1] == list(range(len(texts)))
     packed = run.run(spark, DATA)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.collect()}
-    assert run.one_of_each(spark, spark.createDataFrame([(None, "a b c d e", "en", "s", 9), (1, "a b c d e f g", "en", "s", 9), (1, "a b c d e f g", "en", "s", 9)], docs.schema), DATA).count() == 2
+    row = lambda i, t: (i, t, "en", "s", 9)
+    again = spark.createDataFrame([row(None, "a b c d e"), row(1, "a b c d e f g"), row(1, "a b c d e f g"), row(2, "z y x w v"), row(2, "b c d e f h")], docs.schema)
+    kept = {(r.doc_id, r.text) for r in run.one_of_each(spark, again, DATA).collect()}
+    assert kept == {(None, "a b c d e"), (1, "a b c d e f g"), (2, "b c d e f h")} and run.one_of_each(spark, again, DATA).count() == 3
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, blank texts, repeated rows, an extra column named like outputs, and an empty table."""
+    run = importlib.import_module("corpus_pipeline")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (None, " \n ", "en", "s", 3), (9003, "1234 5678", "en", "s", 9), (9004, "zz " * 40, "fr", "s", 120)], docs.schema)
+    mixed = docs.unionByName(odd).unionByName(docs.limit(3)).withColumn("kept", F.lit("x")).withColumn("lang_pred", F.lit(7)).withColumn("component_id", F.lit("y"))
+    for name, rows in (("mixed", mixed), ("none", mixed.where("false"))):
+        path = str(tmp_path / name)
+        rows.write.parquet(f"{path}/documents.parquet")
+        out = run.run(spark, path)
+        assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+        got = out.collect()
+        assert (len(got) > 20) == (name == "mixed") and {r.doc_id for r in got}.isdisjoint({None, 9001, 9002, 9003, 9004})
+        assert len({(r.doc_id, r.piece) for r in got}) == len(got)
+
 
 
 @pytest.mark.parametrize("size", [1 << 20, 7])
