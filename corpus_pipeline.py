@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import language_id, ngram_join, packing, pii, quality
-from loomspark.llm.shared import cut
+from loomspark.llm.shared import cut, discard
 
 #: Posterior of the predicted language below which a document is rejected.
 LEAST_SCORE = 0.5
@@ -33,7 +33,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate component, and one of rows that repeat an id."""
+    """Keep the document with the smallest id of each near-duplicate component; of rows that repeat an id, the one whose text is first in order."""
     named = ngram_join.near_duplicates(docs, words=WORDS, percent=PERCENT)
     losers = named.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(losers, "doc_id", "left_anti")
@@ -41,7 +41,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return kept.select(*docs.columns)
     single = kept.join(again, "doc_id", "left_anti")
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    row = F.struct(*docs.columns)
+    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("row"))
+    return single.select(*docs.columns).unionByName(first.select("row.*"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
