@@ -33,6 +33,8 @@ from pyspark.sql.window import Window
 from .shared import append_columns
 
 ORDER = 4
+#: Rows that a worker takes at once.
+SLICE = 1000
 LETTER = re.compile(r"[^\W\d_]")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -224,4 +226,4 @@ def identify(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFrame:
         return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(per_byte, pa.float64())]
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
-    return append_columns(docs, [text], fields, make)
+    return append_columns(docs, [text], fields, make, SLICE)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, small
 
 END_ID = 1
 #: Signs that the tokenizer separates from letters before them and keeps together.
@@ -32,6 +32,8 @@ SIGNS = b".,;:!?*#$%&"
 CAPACITY = 4096
 OPEN_BINS = 2048
 TOKENS_PER_PACKER = 1 << 25
+#: Runs that a task keeps the ids of, about 300 bytes each; they go with the task, as the next one meets other rare words.
+MOST_RUNS = 600_000
 #: Runs of letters that the tokenizer is given as one text.
 AT_ONCE = 256
 
@@ -44,7 +46,7 @@ class WordTokens:
     of the texts in hand stay.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = MOST_RUNS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,15 +107,14 @@ def tokenize(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
         if tokenizer_path not in _TOKENIZERS:
             _TOKENIZERS[tokenizer_path] = WordTokens(tokenizer_path)
         coder = _TOKENIZERS[tokenizer_path]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows, pieces, starts, lengths, parts = [], [], [], [], []
-                for i, ids in enumerate(coder.ids(batch.column(1).to_pylist())):
-                    for k, a in enumerate(range(0, len(ids) // 4, capacity)):
-                        part = ids[4 * a : 4 * (a + capacity)]
-                        rows.append(i), pieces.append(k), starts.append(a), lengths.append(len(part) // 4), parts.append(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(parts, pa.binary())], names=schema.names)
+        for batch in small(batches, 1000):
+            rows, pieces, starts, lengths, parts = [], [], [], [], []
+            for i, ids in enumerate(coder.ids(batch.column(1).to_pylist())):
+                for k, a in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * a : 4 * (a + capacity)]
+                    rows.append(i), pieces.append(k), starts.append(a), lengths.append(len(part) // 4), parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(parts, pa.binary())], names=schema.names)
+        coder.known = {}
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
