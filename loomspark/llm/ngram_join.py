@@ -44,7 +44,7 @@ BUCKETS = 1 << 20
 #: Rows and bytes of text that are hashed at once; a longer text or word is taken alone.
 ROWS, BYTES = 500, 1 << 20
 #: Rounds that test only the BEST most alike pairs of a class in each tile, before all pairs that are left.
-ROUNDS, BEST = 1, 1
+ROUNDS, BEST = 2, 1
 #: 64-bit numbers that a tile compares at once.
 AT_ONCE = 1 << 18
 #: Base of the words' polynomial hash, its inverse modulo 2^64, and a random number for each byte, A-Z as a-z.
@@ -113,8 +113,8 @@ def _shingled(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    """Parity bits of the hashes, as many as the power of two at or above their number, 256 to 65536."""
-    width = min(1 << 16, max(256, 1 << int(len(h) - 1).bit_length()))
+    """Parity bits of the hashes, as many as twice the power of two at or above their number, 1024 to 65536; the wider, the tighter the bound."""
+    width = min(1 << 16, max(1024, 2 << int(len(h) - 1).bit_length()))
     return np.packbits((np.bincount((h >> np.uint64(40)).astype(np.int64) & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
