@@ -75,17 +75,23 @@ HABIT_PATTERNS = {
         r"i (?:love|like|enjoy)\s+(.*?)(?:\.|!|$)",
     ),
 }
+#: The endings of an occupation, in the order and with the repeats of the pattern they make.
 OCCUPATIONS = (
-    "engineer doctor nurse teacher student developer designer manager chef firefighter librarian barista programmer artist musician"
-    " writer photographer lawyer accountant scientist researcher analyst consultant pilot driver mechanic electrician plumber"
-    " carpenter farmer fisherman soldier police officer detective agent clerk secretary receptionist cashier waiter waitress cook"
-    " baker butcher grocer pharmacist dentist surgeon therapist counselor psychologist psychiatrist professor instructor tutor coach"
-    " trainer mentor intern apprentice volunteer freelancer entrepreneur founder owner director president ceo cto cfo vp supervisor"
-    " coordinator administrator assistant associate specialist expert advisor strategist architect coder tester"
-).split()
+    "engineer|doctor|nurse|teacher|student|developer|designer|manager|chef|firefighter|librarian|barista|programmer|artist|musician|writer"
+    "|photographer|lawyer|accountant|scientist|researcher|analyst|consultant|pilot|driver|mechanic|electrician|plumber|carpenter|farmer"
+    "|fisherman|soldier|police|officer|detective|agent|clerk|secretary|receptionist|cashier|waiter|waitress|cook|baker|butcher|grocer"
+    "|pharmacist|dentist|surgeon|therapist|counselor|psychologist|psychiatrist|professor|instructor|tutor|coach|trainer|mentor|intern"
+    "|apprentice|volunteer|freelancer|entrepreneur|founder|owner|director|president|ceo|cto|cfo|vp|manager|supervisor|coordinator"
+    "|administrator|assistant|associate|specialist|expert|consultant|advisor|strategist|architect|designer|developer|programmer|coder"
+    "|tester|analyst|data|software|hardware|network|system|security|cloud|devops|fullstack|frontend|backend|mobile|web|game|ai|ml|data"
+    "|science|research|ux|ui|product|project|program|sales|marketing|business|finance|accounting|hr|legal|operations|logistics|supply|chain"
+    "|customer|service|support|technical|quality|compliance|audit|risk|insurance|banking|investment|real estate|hospitality|tourism|travel"
+    "|retail|wholesale|manufacturing|construction|mining|agriculture|forestry|fishing|energy|utility|telecom|media|entertainment|publishing"
+    "|education|health|medical|pharmaceutical|biotech|nonprofit|government|military|religious|social|community|environmental"
+)
 FACT_PATTERNS = {
     "occupation": (
-        rf"i(?:'m| am) (?:a |an )?(.*?(?:{'|'.join(OCCUPATIONS)}))",
+        rf"i(?:'m| am) (?:a |an )?(.*?(?:{OCCUPATIONS}))",
         r"i work (?:as|at|for|in)\s+(.*?)(?:\.|!|$)",
         r"my job is\s+(.*?)(?:\.|!|$)",
         r"i'm (?:a )?(?:fulltime|full-time|part-time|parttime) (?:student|worker|employee)",

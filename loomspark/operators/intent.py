@@ -116,7 +116,9 @@ def features(rows: DataFrame) -> DataFrame:
 def weights(train: DataFrame, column: str, max_df: float, most: int) -> tuple[list[str], list[float]]:
     """Vocabulary (the most frequent terms, bounded by `most`) and idf = ln((1+n)/(1+df)) + 1 of each."""
     n = train.count()
-    terms = train.select(F.monotonically_increasing_id().alias("d"), F.explode(column).alias("t")).groupBy("d", "t").count().groupBy("t").agg(F.count("*").alias("df"), F.sum("count").alias("tf"))
+    every = train.select(F.explode(column).alias("t"), F.lit(0).alias("df"), F.lit(1).alias("tf"))
+    once = train.select(F.explode(F.array_distinct(column)).alias("t"), F.lit(1).alias("df"), F.lit(0).alias("tf"))
+    terms = every.union(once).groupBy("t").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
     kept = terms.where(F.col("df") <= max_df * n).orderBy(F.desc("tf"), "t").limit(most).withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1).orderBy("t").collect()
     return [r["t"] for r in kept], [float(r["idf"]) for r in kept]
 

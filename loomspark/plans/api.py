@@ -13,16 +13,40 @@ from ..functions import text as tx
 from ..functions.sentiment import Scorer
 from ..functions.vectors import Embedder, hashing_embedder
 from ..operators import checkpoints as ck
-from ..operators import conflict, mood, persona, retrieval, segmentation
+from ..operators import conflict, intent, mood, persona, retrieval, segmentation
 from ..operators.intent import IntentModel
 from ..sources import sinks
-from ..sources.conversations import from_csv
+from ..sources.conversations import from_csv, scenarios
 from . import answers
 
+#: The suggested questions by category.
 SUGGESTIONS = {
-    "Persona": ("What kind of person is User 1?", "What are User 2's habits?", "How does User 1 talk?", "Describe User 2's personality"),
-    "Facts & Interests": ("What hobbies are mentioned?", "What pets do users have?", "What jobs are discussed?"),
-    "Conversation Topics": ("What are the main topics discussed?", "Any discussions about travel?", "Tell me about family discussions"),
+    "Persona": (
+        "What kind of person is User 1?",
+        "What kind of person is User 2?",
+        "What are User 1's habits?",
+        "What are User 2's habits?",
+        "How does User 1 talk?",
+        "How does User 2 communicate?",
+        "What are User 1's personality traits?",
+        "Describe User 2's personality",
+    ),
+    "Facts & Interests": (
+        "What do users talk about most?",
+        "What hobbies are mentioned?",
+        "What pets do users have?",
+        "What jobs are discussed?",
+        "Tell me about relationships mentioned",
+        "What places are discussed?",
+    ),
+    "Conversation Topics": (
+        "What are the main topics discussed?",
+        "Tell me about cooking discussions",
+        "What music do they discuss?",
+        "Any discussions about travel?",
+        "What sports are mentioned?",
+        "Tell me about family discussions",
+    ),
 }
 
 
@@ -76,8 +100,10 @@ class Engine:
         total = rows.count()
         return {"rows": [r.asDict(True) for r in retrieval.page(rows.drop(*drop), by, number, size).collect()], "page": number, "total": total, "total_pages": math.ceil(total / size)}
 
-    def topics(self, number: int = 1, size: int = 20) -> dict:
-        return self.page("topics", "topic_id", number, size)
+    def topics(self, number: int = 1, size: int = 20, named: str | None = None) -> dict:
+        """A page of topics; `named` keeps those of the page whose label holds it, in any case."""
+        found = self.page("topics", "topic_id", number, size)
+        return found if named is None else found | {"rows": [r for r in found["rows"] if named.lower() in (r["topic_label"] or "").lower()]}
 
     def checkpoints(self, number: int = 1, size: int = 20) -> dict:
         return self.page("checkpoints", "checkpoint_id", number, size)
@@ -91,19 +117,39 @@ class Engine:
         first = t.where("drift_from_prev").orderBy("day").limit(20)
         return mood.drift_summary(t).first().asDict() | {"trigger_types": {r["type"]: r["n"] for r in mood.trigger_histogram(t).collect()}, "drifts": [r.asDict(True) for r in first.collect()]}
 
-    def stats(self) -> dict[str, int]:
-        return {name: table.count() for name, table in self.tables.items()}
+    def stats(self) -> dict:
+        """Rows of each stored table, and whose personas there are."""
+        people = self.tables.get("personas")
+        loaded = [] if people is None else [r[0] for r in people.select("user_id").orderBy("user_id").collect()]
+        return {name: table.count() for name, table in self.tables.items()} | {"personas_loaded": loaded}
 
     def health(self) -> dict[str, str]:
         return {"status": "ok"}
 
-    def suggestions(self) -> dict[str, tuple[str, ...]]:
-        return SUGGESTIONS
+    def suggestions(self, most: int | None = None) -> dict[str, tuple[str, ...]]:
+        """The suggested questions, the first `most` of each category."""
+        return {k: v[:most] for k, v in SUGGESTIONS.items()}
 
     def intent(self, text: str) -> dict:
+        """The prediction for one text, its probabilities in falling order."""
         if self.model is None:
             raise LookupError("no intent model; train or load one first")
-        return self.model.predict(self.spark.createDataFrame([(text,)], "text string")).first().asDict(True)
+        found = self.model.predict(self.spark.createDataFrame([(text,)], "text string")).first().asDict(True)
+        return found | {"all_probabilities": dict(sorted(found["all_probabilities"].items(), key=lambda x: (-x[1], x[0])))}
+
+    def intent_metrics(self) -> dict:
+        """The report that train_intent() stored: sizes, overall figures, figures by class, the confusion table."""
+        classes = [r.asDict() for r in self.table("intent_classes").orderBy("label").collect()]
+        matrix = [r.asDict() for r in self.table("intent_confusion").orderBy("actual", "predicted").collect()]
+        return self.table("intent_overall").first().asDict() | {"classes": classes, "confusion": matrix}
+
+    def conflict_demo(self) -> list[dict]:
+        """The stored scenarios: for each its entity, messages in order of place, and topics."""
+        rows, topics = self.table("scenario_messages"), self.table("scenario_topics")
+        keys = ("scenario_id", "entity")
+        listed = lambda df, by, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, *[c for c in df.columns if c not in (*keys, by)]))).alias(name))
+        both = listed(rows, "global_index", "messages").join(listed(topics, "topic_id", "topics"), list(keys), "full")
+        return [r.asDict(True) for r in both.orderBy("scenario_id").collect()]
 
     def resolve(self, question: str, most: int = 10) -> dict:
         """Mentions of the entity that a question is about, and their contradictions."""
@@ -133,6 +179,36 @@ def build(spark: SparkSession, csv: str, out: str, embedder: Embedder | None = N
     return load(spark, out, embed)
 
 
+def train_intent(spark: SparkSession, out: str, rows: DataFrame | None = None, **settings: float) -> Engine:
+    """Train on stored or generated rows, write the training CSV, the classifier and its report below `out`, and open an engine on them."""
+    sinks.save_csv(rows if rows is not None else intent.generated(spark), f"{out}/intent_training")
+    stored = spark.read.option("header", True).option("escape", '"').schema("id long, text string, intent string").csv(f"{out}/intent_training")
+    train, test = intent.split(stored)
+    model = intent.train(train, **settings)
+    sinks.save_model(model, spark, f"{out}/intent_model")
+    sinks.save(intent.confusion(model.predict(test), "intent", "intent_pred"), f"{out}/intent_confusion")
+    matrix = spark.read.parquet(f"{out}/intent_confusion")
+    sinks.save(intent.class_metrics(matrix), f"{out}/intent_classes")
+    sizes = {"train_rows": F.lit(train.count()), "test_rows": F.lit(test.count())}
+    sinks.save(intent.overall(spark.read.parquet(f"{out}/intent_classes"), matrix).withColumns(sizes), f"{out}/intent_overall")
+    return load_intent(spark, out)
+
+
+def load_intent(spark: SparkSession, out: str, engine: Engine | None = None) -> Engine:
+    """An engine, or the given one, with the classifier and its report."""
+    found = engine or Engine(spark)
+    found.model = sinks.load_model(spark, f"{out}/intent_model")
+    found.tables |= {n: spark.read.parquet(f"{out}/{n}") for n in ("intent_overall", "intent_classes", "intent_confusion")}
+    return found
+
+
+def load_scenarios(engine: Engine, path: str) -> Engine:
+    """The engine with the scenarios of a JSON file for conflict_demo()."""
+    messages, topics = scenarios(engine.spark, path)
+    engine.tables |= {"scenario_messages": messages, "scenario_topics": topics}
+    return engine
+
+
 def load(spark: SparkSession, out: str, embedder: Embedder | None = None, lite: bool = False) -> Engine:
     names = ["topics", "checkpoints", "personas", "mood_timeline", "topic_index", "chunk_index", "checkpoint_index"] + ([] if lite else ["messages"])
     return Engine(spark, {n: spark.read.parquet(f"{out}/{n}") for n in names}, embedder or hashing_embedder())

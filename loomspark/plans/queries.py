@@ -165,6 +165,44 @@ def persona_fact_lists(spark, sf):
     return persona.facts_by_category(persona.facts(messages(spark, sf), {"object": (r"der ([a-z]+)",)}))
 
 
+#: English sentences around each message's text, by its place, so that the fixed patterns have something to find.
+FRAMES = ("{}", "I'm a {} engineer.", "i work as {}", "My job is {}.", "my wife {}", "I have a dog and {}", "my cat's name is {}", "i live in {}", "I'm 30 years old {}", "i drive a {} truck!", "I usually wake up {}", "every morning I {}", "I love to paint {}", "my hobbies are {}", "In my spare time I {}", "I'm a night owl, {}")
+FRAMED = MSGS.replace("msgs AS", "raw AS", 1) + f", msgs AS (SELECT gi, ci, li, speaker, replace([{listed(FRAMES)}][gi % {len(FRAMES)} + 1], '{{}}', text) AS text FROM raw)"
+
+
+def framed(spark, sf) -> DataFrame:
+    frame = F.element_at(F.array(*[F.lit(x) for x in FRAMES]), (F.col("global_index") % len(FRAMES) + 1).cast("int"))
+    return messages(spark, sf).withColumn("text", F.replace(frame, F.lit("{}"), F.col("text")))
+
+
+def mining_sql(patterns, least: int, confidence: str) -> str:
+    found = lambda p: f"regexp_extract_all(low, {listed([p])}, {lex.groups_in(p)})"
+    each = " UNION ALL ".join(f"SELECT speaker, gi, '{k}' AS category, {i} AS c, {j} AS p, unnest({found(p)}) AS raw, unnest(range(len({found(p)}))) AS m FROM n" for i, (k, ps) in enumerate(patterns.items()) for j, p in enumerate(ps))
+    return f"""WITH {FRAMED}, n AS (SELECT speaker, gi, regexp_replace(lower(text), '[\\r\\n]+', ' ', 'g') AS low FROM msgs), m AS ({each}),
+d AS (SELECT *, trim(raw) AS detail FROM m WHERE length(trim(raw)) >= {least}),
+r AS (SELECT *, row_number() OVER (PARTITION BY speaker, category, left(detail, 50) ORDER BY gi, c, p, m) AS k FROM d)
+SELECT speaker, category, left(detail, 100) AS detail, {confidence} AS confidence, gi AS first_index FROM r WHERE k = 1"""
+
+
+@query(mining_sql(lex.FACT_PATTERNS, 2, "'high'"))
+def fact_mining(spark, sf):
+    return persona.facts(framed(spark, sf)).select("speaker", "category", "detail", "confidence", F.col("place.global_index").alias("first_index"))
+
+
+@query(mining_sql(lex.HABIT_PATTERNS, 3, "CASE WHEN length(detail) > 5 THEN 'high' ELSE 'medium' END"))
+def habit_mining(spark, sf):
+    return persona.habits(framed(spark, sf)).select("speaker", "category", "detail", "confidence", F.col("place.global_index").alias("first_index"))
+
+
+@query(f"""WITH {MSGS}, t AS (SELECT gi, unnest({TOKENS}) AS term FROM msgs), n AS (SELECT count(*) AS n FROM msgs),
+c AS (SELECT term, count(*) AS tf, count(DISTINCT gi) AS df FROM t GROUP BY term)
+SELECT term, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM c, n WHERE df <= 0.95 * n ORDER BY tf DESC, term LIMIT 30000""")
+def term_weights(spark, sf):
+    rows = messages(spark, sf).select(tokens("text").alias("words"))
+    terms, idf = intent.weights(rows, "words", 0.95, 30_000)
+    return spark.createDataFrame(list(zip(terms, idf, strict=True)), "term string, idf double").select("term", F.round("idf", 6).alias("idf"))
+
+
 MOOD = f"""x AS (SELECT ci AS day, {BLANKS} AS w, text FROM msgs),
 s AS (SELECT day, text, w, len(list_filter(w, lambda x: x IN ({listed(POSITIVE)}))) - len(list_filter(w, lambda x: x IN ({listed(NEGATIVE)}))) AS s FROM x),
 m AS (SELECT day, count(*) AS message_count, round(avg(s / sqrt(s * s + 15.0)), 4) AS valence, round(avg(abs(s / sqrt(s * s + 15.0))), 4) AS intensity,
@@ -335,6 +373,17 @@ def entity_mentions(spark, sf):
     return mentions(spark, sf).select("id", F.round("compound", 6).alias("compound"), "rank_score", "pos")
 
 
+@query(f"""WITH {MSGS}, x AS (SELECT 'message' AS source, gi AS id, text, gi AS idx FROM msgs UNION ALL SELECT 'topic', gi // 7, arg_min(text, gi), max(gi) FROM msgs GROUP BY gi // 7),
+{SCORED.replace("FROM msgs", "FROM x")}, e AS (SELECT *, s / sqrt(s * s + 15.0) AS compound FROM q WHERE regexp_matches(text, '(?i)(^|[^0-9A-Za-z_À-ÿ]){ENTITY}($|[^0-9A-Za-z_À-ÿ])')),
+k AS (SELECT *, round(0.6 * idx / greatest(max(idx) OVER (), 1) + 0.4 * abs(compound), 4) AS rank_score FROM e)
+SELECT source, id, round(compound, 6) AS compound, rank_score, (row_number() OVER (ORDER BY rank_score DESC, source, id))::INT AS pos FROM k""")
+def entity_mentions_with_topics(spark, sf):
+    m = messages(spark, sf)
+    t = m.groupBy(F.floor(F.col("global_index") / 7).alias("topic_id")).agg(F.max("global_index").alias("end_msg_index"), F.min_by("text", "global_index").alias("summary"))
+    t = t.withColumn("topic_label", F.concat(F.lit("topic "), F.col("topic_id").cast("string"))).withColumn("key_entities", F.array().cast("array<string>"))
+    return conflict.mentions_of(ENTITY, m, t, count_scorer).select("source", "id", F.round("compound", 6).alias("compound"), "rank_score", "pos")
+
+
 PAIRS = "FROM r a JOIN r b ON a.pos < b.pos"
 
 

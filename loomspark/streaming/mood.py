@@ -23,9 +23,18 @@ def sums(messages: DataFrame, key: str = "conversation_index", scorer: Scorer |
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("c").alias("valence"), F.sum(F.abs("c")).alias("intensity"), F.sum("ask").alias("curiosity"), F.sum("size").alias("size"))
 
 
-def running(stream: DataFrame, name: str, checkpoint: str, key: str = "conversation_index", scorer: Scorer | None = None) -> StreamingQuery:
-    """A query that keeps the sums of all messages so far in an in-memory table, in update mode."""
-    return sums(stream, key, scorer).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+def running(stream: DataFrame, path: str, checkpoint: str, key: str = "conversation_index", scorer: Scorer | None = None) -> StreamingQuery:
+    """A query in update mode that writes the changed sums of each batch to path/batch=<id>; a batch that is repeated replaces its own rows."""
+
+    def store(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return sums(stream, key, scorer).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).start()
+
+
+def current(stored: DataFrame, key: str = "conversation_index") -> DataFrame:
+    """The latest sums of each key among the batches that running() wrote."""
+    return stored.groupBy(key).agg(F.max_by(F.struct(*SUMS), "batch").alias("x")).select(key, "x.*")
 
 
 def windowed(stream: DataFrame, at: str, width: str, late: str, key: str = "conversation_index", scorer: Scorer | None = None) -> DataFrame:

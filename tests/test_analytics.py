@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -17,6 +18,7 @@ from loomspark.operators import checkpoints, conflict, intent, mood, persona, re
 from loomspark.plans import api
 from loomspark.sources import conversations as source
 from loomspark.sources import sinks
+from loomspark.streaming import mood as streaming
 
 MESSAGE = "global_index long, conversation_index long, local_index int, speaker string, text string, full_text string"
 
@@ -263,6 +265,12 @@ def test_engine(spark, tmp_path):
     assert engine.stats()["messages"] == 24 and engine.topics()["total"] >= 1 and engine.checkpoints()["total"] == 1
     assert engine.chat("cooking pasta plans?")["answer"] and engine.persona("User 1")[0]["user_id"] == "User 1"
     assert engine.resolve("what did i say about my sister?")["entity"] == "sister" and engine.drift_summary()["total_days"] == 3
+    assert engine.stats()["personas_loaded"] == ["User 1", "User 2"]
+    label = engine.topics()["rows"][0]["topic_label"]
+    assert engine.topics(named=label.upper())["rows"] and not engine.topics(named="zzz")["rows"]
+    assert [len(v) for v in engine.suggestions().values()] == [8, 6, 6] and [len(v) for v in engine.suggestions(3).values()] == [3, 3, 3]
+    with pytest.raises(LookupError):
+        engine.intent_metrics()
     with pytest.raises(LookupError):
         engine.persona("User 9")
     with pytest.raises(ValueError):
@@ -274,3 +282,51 @@ def test_sinks_and_absent_artifacts(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "a.json")).count() == 3
     assert source.artifact(spark, str(tmp_path / "none"), "x int").count() == 0
     assert sinks.as_json(spark.range(1)).first().json == '{"id":0}'
+
+
+def test_intent_training_and_metrics(spark, tmp_path):
+    rows = intent.generated(spark, per_class=40, hard={})
+    engine = api.train_intent(spark, str(tmp_path), rows, iterations=20)
+    got = engine.intent_metrics()
+    assert (got["train_rows"], got["test_rows"]) == (128, 32) and sum(r["n"] for r in got["confusion"]) == 32
+    assert sum(r["support"] for r in got["classes"]) == 32 and got["accuracy"] > 0.7
+    shares = list(engine.intent("remind me to buy milk tomorrow")["all_probabilities"].values())
+    assert len(shares) == 4 and shares == sorted(shares, reverse=True)
+
+
+def test_conflict_demo_and_injected(spark, tmp_path):
+    said = {"global_index": 7, "conversation_index": 1, "speaker": "User 1", "text": "my sister never calls"}
+    (tmp_path / "s.json").write_text(json.dumps([{"scenario_id": "s1", "entity": "sister", "messages": [said | {"global_index": 9, "text": "she called"}, said], "topic_checkpoints": [{"topic_id": 3, "topic_label": "Sister"}]}, {"scenario_id": "s2", "entity": "boss", "messages": [said], "topic_checkpoints": []}]))
+    engine = api.load_scenarios(api.Engine(spark), str(tmp_path / "s.json"))
+    one, two = engine.conflict_demo()
+    assert [m["global_index"] for m in one["messages"]] == [7, 9] and one["topics"][0]["topic_label"] == "Sister" and two["entity"] == "boss" and not two["topics"]
+    base = chat(spark, ["a", "b"])
+    both = source.with_injected(base, engine.table("scenario_messages").where("scenario_id = 's1'"))
+    assert both.count() == 4 and both.columns[: len(base.columns)] == base.columns
+
+
+def test_compact_mentions(spark):
+    rows = spark.createDataFrame([(None, "s" * 300, None, 4), ("t", None, 8, None)], "text string, summary string, global_index long, start_msg_index long")
+    got = conflict.summarised(rows).collect()
+    assert [(len(r.text), r["index"], r.source, r.day_label, r.compound) for r in got] == [(200, 4, "unknown", "?", 0.0), (1, 8, "unknown", "?", 0.0)]
+
+
+def test_running_sums(spark, tmp_path):
+    whole = [(i % 3, f"is it good {i}?") for i in range(12)]
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate((whole[:5], whole[5:])):
+        spark.createDataFrame(part, "conversation_index long, text string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema("conversation_index long, text string").json(str(tmp_path / "in"))
+        live = streaming.running(stream, str(tmp_path / "sums"), str(tmp_path / "checkpoint"))
+        live.processAllAvailable()
+        live.stop()
+    got = streaming.current(spark.read.parquet(str(tmp_path / "sums")))
+    want = streaming.sums(spark.createDataFrame(whole, "conversation_index long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert streaming.vectors(got).count() == 3
+
+
+@pytest.mark.parametrize(("text", "detail"), [("I'm a real estate agent", "real estate"), ("i am in biotech", "in biotech"), ("I'm an intern", "intern"), ("i'm a devops lead", "devops")])
+def test_occupations(spark, text, detail):
+    found = {r.detail for r in persona.facts(chat(spark, [text])).where("category = 'occupation'").collect()}
+    assert found == {detail}
