@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small
 
 CHUNK = 1 << 20
 READ = "record long, kind string, uri string, refers long, size long, digest string, chunk int, last boolean, running string, data binary"
@@ -48,10 +48,14 @@ def records(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFrame
 
 
 def chunked(rows: DataFrame, chunk: int) -> DataFrame:
-    """rows with their body as chunk rows (chunk, last, data), in order within a record."""
+    """rows with their body as chunk rows (chunk, last, data), in order within a record.
+
+    Only chunk numbers are generated; each chunk is cut from the body as it is passed on, so no array of chunks exists.
+    """
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / chunk).cast("int"))
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk"), (i == n - 1).alias("last"), F.substring("body", i * chunk + 1, F.lit(chunk)).alias("data")))
-    return rows.select(*[c for c in rows.columns if c != "body"], F.inline(parts))
+    numbered = rows.withColumn("__n", n).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    data = F.substring("body", F.col("chunk") * chunk + 1, F.lit(chunk))
+    return numbered.select(*[c for c in rows.columns if c != "body"], "chunk", (F.col("chunk") == F.col("__n") - 1).alias("last"), data.alias("data"))
 
 
 def base32(sha: object) -> str:
@@ -107,7 +111,7 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
             done.append((f"{folder}/part-{part:05d}-{len(done):04d}.warc.gz", n))
             disk.move(temp, done[-1][0])
 
-        for batch in batches:
+        for batch in small(batches, 64):
             for row in batch.to_pylist():
                 if row["chunk"] == 0:
                     if out is None:
