@@ -497,6 +497,45 @@ def vector_cosine(spark, sf):
     return pairs.groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.avg(cosine(F.col("embedding"), F.col("other"))), 6).alias("mean_cosine"))
 
 
+@query("""WITH m AS (SELECT quality AS actual, 1 - toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL), l AS (SELECT DISTINCT unnest([actual, predicted]) AS label FROM m),
+s AS (SELECT label, coalesce(sum(n) FILTER (WHERE actual = label), 0) AS support, coalesce(sum(n) FILTER (WHERE predicted = label), 0) AS named, coalesce(sum(n) FILTER (WHERE actual = label AND predicted = label), 0) AS hit FROM l, m GROUP BY label),
+r AS (SELECT support, hit, CASE WHEN named > 0 THEN hit / named ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r FROM s), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM r WHERE support > 0)
+SELECT round(sum(hit) / sum(support), 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(f), 6) AS macro_f1,
+round(sum(p * support) / sum(support), 6) AS weighted_precision, round(sum(r * support) / sum(support), 6) AS weighted_recall, round(sum(f * support) / sum(support), 6) AS weighted_f1 FROM f""")
+def confusion_overall(spark, sf):
+    m = intent.confusion(read(spark, sf, "labels").withColumn("p", 1 - F.col("toxic")), "quality", "p")
+    o = intent.overall(intent.class_metrics(m), m)
+    return o.select(*[F.round(c, 6).alias(c) for c in o.columns])
+
+
+@query(f"""WITH {MSGS}, {MENTIONS} SELECT 'Day ' || ci AS day_label, count(*) AS n, string_agg(gi::VARCHAR, ',' ORDER BY pos) AS ids, min(pos)::INT AS first FROM r GROUP BY ci""")
+def mentions_by_label(spark, sf):
+    return conflict.by_label(mentions(spark, sf)).select("day_label", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "first")
+
+
+@query(f"""WITH {MSGS}, {MENTIONS} SELECT 'message' AS source, left(text, 200) AS text, speaker, 'Day ' || ci AS day_label, round(compound, 6) AS compound, gi AS index FROM r""")
+def mention_cards(spark, sf):
+    return conflict.summarised(mentions(spark, sf)).withColumn("compound", F.round("compound", 6))
+
+
+@query(f"""WITH {MSGS}, t(trait, words) AS (VALUES {", ".join(f"('{k}', [{listed(v)}])" for k, v in TRAITS.items())}),
+h AS (SELECT speaker, trait, gi, left(text, 150) AS line, len(list_intersect(list_distinct({TOKENS}), words)) AS n FROM msgs, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY speaker, trait ORDER BY gi) AS k FROM h WHERE n > 0), c AS (SELECT speaker, trait, sum(n) AS total FROM r GROUP BY speaker, trait),
+s AS (SELECT speaker, trait FROM c QUALIFY round(least(total / greatest(0.5 * max(total) OVER (PARTITION BY speaker), 1.0), 1.0), 3) > 0.05)
+SELECT speaker, trait, string_agg(line, ' | ' ORDER BY k) AS samples FROM r JOIN s USING (speaker, trait) WHERE k <= 3 GROUP BY speaker, trait""")
+def trait_samples(spark, sf):
+    return persona.traits(messages(spark, sf), TRAITS, tokens=tokens).select("speaker", "trait", F.array_join("evidence_samples", " | ").alias("samples"))
+
+
+@query(f"""WITH {MSGS}, s AS (SELECT gi // 100 AS checkpoint_id, min(gi) AS lo, max(gi) AS hi, count(*) AS n, count(DISTINCT ci) AS c FROM msgs GROUP BY 1),
+f AS (SELECT gi // 100 AS checkpoint_id, gi, speaker || ': ' || text AS line, row_number() OVER (PARTITION BY gi // 100 ORDER BY gi) AS k FROM msgs WHERE contains(lower(text), 'haha') OR contains(lower(text), 'which ')),
+l AS (SELECT checkpoint_id, string_agg(line, '; ' ORDER BY k) AS said FROM f WHERE k <= 6 GROUP BY checkpoint_id)
+SELECT checkpoint_id, 'Messages ' || lo || ' to ' || hi || ': ' || n || ' messages across ' || c || ' conversations.' || coalesce(chr(10) || 'Facts: ' || said, '') AS summary FROM s LEFT JOIN l USING (checkpoint_id)""")
+def checkpoint_summaries(spark, sf):
+    c = checkpoints.checkpoints(messages(spark, sf), facts=("haha", "which "))
+    return c.select("checkpoint_id", F.split("summary", "\nTopics: ")[0].alias("summary"))
+
+
 @query()
 def valence_of_documents(spark, sf):
     d = read(spark, sf, "documents")
