@@ -118,7 +118,7 @@ def vectors(seed=3):
 
 @pytest.mark.parametrize(("block", "leaf"), [(512, 64), (8, 2)])
 def test_vector_join(spark, monkeypatch, block, leaf):
-    for name, value in (("BLOCK", block), ("LEAF", leaf), ("GROUP", 2)):
+    for name, value in (("BLOCK", block), ("LEAF", leaf), ("GROUP", 2), ("SPAN", 2)):
         monkeypatch.setattr(vector_join, name, value)
     rows = vectors()
     table = spark.createDataFrame([(i, v, x, 9) for i, (x, v) in enumerate(rows)], "vec_id long, embedding array<float>, label int, n_links int").repartition(4)
