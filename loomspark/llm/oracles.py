@@ -44,4 +44,24 @@ m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_c
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {VERDICT} AS kept FROM f"""
 
-ORACLE_SQL = {"op4_warc": WARC, "op5_embedding_near_dedup": EMBEDDINGS, "op7_ngram_jaccard_join": JACCARD, "op8_quality_rules": QUALITY}
+AUDIT = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+ coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM d),
+m AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, fails, len(list_filter(fails, lambda b: b)) AS n, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN m USING (doc_id)),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+r AS (SELECT x.*, p, coalesce(list_position(list_transform(p, lambda i: fails[i]), true), 6) AS first FROM x, o),
+s AS (SELECT part, array_to_string(list_transform(p, lambda i: 'ABCDE'[i]), '') AS filter_order, l.i AS step, 'ABCDE'[p[l.i]] AS filter, fails[p[l.i]] AS fail, n, first, good, toxic FROM r, l),
+g AS (SELECT part, filter_order, step, filter, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed, count(*) FILTER (fail AND first < step) AS redundant,
+ count(*) FILTER (fail AND n = 1) AS unique_fails, count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost FROM s GROUP BY ALL)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM g"""
+
+LINES = r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+t AS (SELECT k.*, coalesce(n >= 2 AND doc_id <> first, false) AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM t GROUP BY doc_id"""
+
+ORACLE_SQL = {"op4_warc": WARC, "op5_embedding_near_dedup": EMBEDDINGS, "op7_ngram_jaccard_join": JACCARD, "op8_quality_rules": QUALITY, "op11_filter_audit": AUDIT, "op12_line_dedup": LINES}

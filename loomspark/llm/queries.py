@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, katz, language_id, ngram_join, packing, pii, quality, sentencepiece_viterbi, vector_join, warc
+from . import filter_audit, html_text, katz, language_id, line_dedup, ngram_join, packing, periodic_runs, pii, quality, sentencepiece_viterbi, vector_join, warc
 from .oracles import ORACLE_SQL  # noqa: F401
 from .shared import remainder, shared_dir
 
@@ -81,4 +81,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_sentencepiece, op4_warc, op5_embedding_near_dedup, op6_pii, op7_ngram_jaccard_join, op8_quality_rules, op9_html_extraction, op10_best_fit_packing)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters on all documents, replayed in all 120 orders."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that stand in an earlier one as well are dropped."""
+    out = line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=10, least_docs=2)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, a tenth of which get a repeated end."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    out = periodic_runs.detect(docs)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_katz_backoff, op3_sentencepiece, op4_warc, op5_embedding_near_dedup, op6_pii, op7_ngram_jaccard_join, op8_quality_rules, op9_html_extraction, op10_best_fit_packing, op11_filter_audit, op12_line_dedup, op13_periodic_runs)}
