@@ -19,7 +19,8 @@ between components can be missed, and a connected group isn't expanded into all
 
 Defined results: null or blank text has the empty set, n_shingles 0, and links with nothing; a text
 with fewer than k words has one shingle, the whole sequence. Rows without id link with nothing.
-Rows that repeat an id count as one document. Very long texts are taken whole. Empty tables give
+Rows that repeat an id count as one document: that of its texts with words whose xxhash64 is smallest speaks for
+all of them, whatever the order of the rows. Very long texts are taken whole. Empty tables give
 empty tables; columns other than id and text are not looked at.
 """
 
@@ -150,7 +151,7 @@ def heavy_buckets(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, n, sid, keys, bits): set size, set hash, prefix shingles and bitmap of each document."""
+    """(id, t, n, sid, keys, bits): text hash, set size, set hash, prefix shingles and bitmap of each document."""
     rank = docs.sparkSession.sparkContext.broadcast(heavy_buckets(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +165,9 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sid.append(xxhash.xxh64_intdigest(h.tobytes()))
                 keys.append(by[:first].view(np.int64))
                 bits.append(bitmap(h).tobytes() if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "sid", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "t", "n", "sid", "keys", "bits"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, sid long, keys array<long>, bits binary")
+    return docs.select("id", "text", "t").mapInArrow(run, "id long, t long, n long, sid long, keys array<long>, bits binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -244,7 +245,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, ROWS):
             packed = [h.tobytes() for h in shingled(batch.column(1).to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["id", "t", "h"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, ROWS):
@@ -256,7 +257,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut(docs.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(arrays, "id long, h binary").dropDuplicates(["id"]), "sets")
+    told = docs.select("id", "text", "t").join(wanted, "id", "left_semi").mapInArrow(arrays, "id long, t long, h binary").where(F.octet_length("h") > 0)
+    sets = cut(told.groupBy("id").agg(F.min_by("h", "t").alias("h")), "sets")
     wide = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     out = cut(wide.select("a", "b", "x", "y").mapInArrow(meet, "a long, b long"), "links")
     discard(sets)
@@ -326,11 +328,12 @@ def crossing(tiles: DataFrame, classes: DataFrame, found: DataFrame, percent: in
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs. Links: 100 * intersection >= percent * union."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     told = cut(describe(rows, words, percent), "shingled")
     real = told.where("n > 0 AND id IS NOT NULL")
-    class_of = cut(real.groupBy("sid", "n").agg(F.min("id").alias("rep")), "classes")
-    classes = told.join(class_of.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0").dropDuplicates(["id"]).withColumnRenamed("id", "rep")
+    speaker = real.groupBy("id").agg(F.min_by("sid", "t").alias("sid"), F.min_by("n", "t").alias("n"))
+    class_of = cut(speaker.groupBy("sid", "n").agg(F.min("id").alias("rep")), "classes")
+    classes = real.join(class_of.withColumnRenamed("rep", "id"), ["id", "sid", "n"], "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep")
     tiles = tiles_of(classes, percent)
     near = bounded(neighbours(tiles, percent).distinct(), classes, percent)
     pairs = cut(near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b"), "pairs")
@@ -349,5 +352,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         discard(pairs, links)
     discard(tiles)
     named = class_of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "n", F.coalesce("component", "rep").alias("component"))
-    out = told.select("id", "n", "sid").join(named, ["sid", "n"], "left")
+    of = speaker.join(named, ["sid", "n"]).select("id", "component")
+    out = told.select("id", "n").join(of, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

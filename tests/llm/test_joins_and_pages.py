@@ -96,6 +96,17 @@ def test_ngram_join_odd_tables(spark):
     assert got == [(-1, None), (3, 3), (5, 3), (5, 3)]
 
 
+def test_ngram_join_does_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(5)
+    a, b = (" ".join(rng.choice([f"w{i}" for i in range(300)], 80)) for _ in range(2))
+    rows = [(2, a), (2, b), (3, b + " end"), (4, a + " end"), (9, b), (2, "  ")]
+    spoken = spark.createDataFrame([(a,), (b,)], "t string").orderBy(F.xxhash64("t")).first().t
+    near = 4 if spoken == a else 3
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()}
+        assert got == {(2, 2), (near, 2), (9, 2 if near == 3 else 3), (3, 2 if near == 3 else 3), (4, 2 if near == 4 else 4)}
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(50):
@@ -138,6 +149,23 @@ def test_vector_join(spark, monkeypatch, block, leaf):
     assert vector_join.near_duplicates(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e-320, 1e-200, 1.0, 1e200, 1e308])
+def test_vector_join_takes_any_magnitude(spark, scale):
+    rows = [(1, [scale, 0.0]), (2, [1.0, 0.0]), (3, [-scale, scale * 0.01]), (4, [-1.0, 0.0]), (5, [0.0, 1.0]), (6, [scale, scale * 1e-3])]
+    got = vector_join.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_boxes_are_compared_down_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(vector_join, "SPAN", 2)
+    rng = np.random.default_rng(4)
+    box = [(0, 2, part // 2, (part << 32) + g, [float(x), float(y)], [float(x) + 0.2, float(y) + 0.2]) for part in range(11) for g in range(3) for x, y in [rng.uniform(0, 4, 2)]]
+    outline = spark.createDataFrame(box, "label long, dim int, span long, group long, low array<double>, high array<double>")
+    got = {(r.ga, r.gb) for r in vector_join.group_pairs(outline, 2, 0.25, 11).collect()}
+    want = {(a[3], b[3]) for a in box for b in box if a[3] <= b[3] and vector_join.boxes_apart(tuple(map(np.array, a[4:])), tuple(map(np.array, b[4:]))) ** 2 <= 0.25}
+    assert got == want and len(want) < 33 * 34 / 2
+
+
 PAGES = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://b/\r\nEvil: 1", None), (4, "u", ""), (5, "u", "é" * 2000), (6, "u", "é" * 2000), (7, "u", "tail\r\n\r\nWARC/1.1\r\n"), (None, "u", "<p>x</p>")]
 
 
