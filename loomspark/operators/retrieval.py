@@ -40,25 +40,30 @@ def top_k(index: DataFrame, query: Sequence[float], k: int, key: str, vector: st
     return index.withColumn("relevance_score", dot(unit(F.col(vector)) if normalise else F.col(vector), q)).orderBy(F.desc("relevance_score"), key).limit(k)
 
 
-def packed(rows: DataFrame, key: str, vector: str, most: int) -> DataFrame:
-    """(keys, dim, data): rows as blocks of at most `most`, in order of key, with their vectors end to end; dim -1 holds those that have nulls."""
+def packed(rows: DataFrame, key: str, vector: str, most: int, of: str | None = None) -> DataFrame:
+    """(keys, dim, data): rows as blocks of at most `most`, in order of key, with their vectors end to end; dim -1 holds those that have nulls.
+
+    With `of`, an integer column, no block has rows of two of its values, and it is the first column.
+    """
     kind = rows.schema[key].dataType.simpleString()
     out = [("keys", f"array<{kind}>"), ("dim", "int"), ("data", "binary")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch, sort_keys=[("k", "ascending")], null_placement="at_start"))
-            held = batch.column(1).to_pylist()
+            held, group = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
             dims = np.array([-1 if v is None or None in v else len(v) for v in held], np.int64)
-            for dim in np.unique(dims):
-                mine, step = np.flatnonzero(dims == dim), max(1, min(most, (1 << 20) // max(1, int(dim))))
+            for part_of, dim in sorted(set(zip(group.tolist(), dims.tolist(), strict=True))):
+                mine, step = np.flatnonzero((dims == dim) & (group == part_of)), max(1, min(most, (1 << 20) // max(1, int(dim))))
                 for at in range(0, len(mine), step):
                     part = mine[at : at + step]
                     data = np.array([held[i] for i in part], np.float64).tobytes() if dim > 0 else b""
                     keys = batch.column(0).take(pa.array(part))
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), keys), pa.array([dim], pa.int32()), pa.array([data], pa.binary())], names=[n for n, _ in out])
+                    columns = [pa.array([part_of], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), keys), pa.array([dim], pa.int32()), pa.array([data], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["of", *[n for n, _ in out]])
 
-    return rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in out))
+    made = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), (F.col(of) if of else F.lit(0)).cast("int").alias("g")).mapInArrow(run, "of int, " + ", ".join(f"{n} {t}" for n, t in out))
+    return made.withColumnRenamed("of", of) if of else made.drop("of")
 
 
 def nearest(scores: np.ndarray, k: int) -> np.ndarray:
@@ -72,6 +77,26 @@ def nearest(scores: np.ndarray, k: int) -> np.ndarray:
     return np.r_[above, np.flatnonzero(scores == least)[: k - len(above)]]
 
 
+def scores_of(batches: Iterator[pa.RecordBatch], k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(query, key, score) of the k best a query of each pair of blocks (keys, dim, data, asked, asked_dim, wanted); null scores where lengths differ."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            keys, dim, data, asked, asked_dim, wanted = (batch.column(c)[i] for c in range(6))
+            n, m, d = len(keys), len(asked), dim.as_py()
+            if d == asked_dim.as_py() and d >= 0:
+                a, b = np.frombuffer(wanted.as_buffer(), np.float64).reshape(m, d), np.frombuffer(data.as_buffer(), np.float64).reshape(n, d)
+                scores = np.zeros((m, n))
+                for x, y in zip(a.T, np.ascontiguousarray(b.T), strict=True):  # one component after the other, so equal vectors have equal scores
+                    scores += x[:, None] * y
+                found = [nearest(s, k) for s in scores]
+                value = pa.array(np.concatenate([s[f] for s, f in zip(scores, found, strict=True)]), pa.float64(), from_pandas=False)
+            else:
+                found = [np.arange(min(n, k))] * m
+                value = pa.nulls(sum(map(len, found)), pa.float64())
+            of = np.repeat(np.arange(m), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([asked.values.take(pa.array(of)), keys.values.take(pa.array(np.concatenate(found))), value], names=names)
+
+
 def top_k_batch(index: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "vec", block: int = 4096) -> DataFrame:
     """(query_key, rank, key, score): the k nearest rows of each query, of any number of queries.
 
@@ -82,26 +107,8 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, key: str, query_ke
     q, v = packed(dealt, query_key, vector, 64), packed(index, key, vector, 2048)
     names = {query_key: queries.schema[query_key].dataType, key: index.schema[key].dataType}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, dim, data, asked, asked_dim, wanted = (batch.column(c)[i] for c in range(6))
-                n, m, d = len(keys), len(asked), dim.as_py()
-                if d == asked_dim.as_py() and d >= 0:
-                    a, b = np.frombuffer(wanted.as_buffer(), np.float64).reshape(m, d), np.frombuffer(data.as_buffer(), np.float64).reshape(n, d)
-                    scores = np.zeros((m, n))
-                    for x, y in zip(a.T, np.ascontiguousarray(b.T), strict=True):  # one component after the other, so equal vectors have equal scores
-                        scores += x[:, None] * y
-                    found = [nearest(s, k) for s in scores]
-                    value = pa.array(np.concatenate([s[f] for s, f in zip(scores, found, strict=True)]), pa.float64(), from_pandas=False)
-                else:
-                    found = [np.arange(min(n, k))] * m
-                    value = pa.nulls(sum(map(len, found)), pa.float64())
-                of = np.repeat(np.arange(m), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([asked.values.take(pa.array(of)), keys.values.take(pa.array(np.concatenate(found))), value], names=[query_key, key, "score"])
-
     schema = T.StructType([*[T.StructField(c, t) for c, t in names.items()], T.StructField("score", T.DoubleType())])
-    pairs = v.crossJoin(q.toDF("asked", "asked_dim", "wanted")).mapInArrow(run, schema)
+    pairs = v.crossJoin(q.toDF("asked", "asked_dim", "wanted")).mapInArrow(lambda batches: scores_of(batches, k, [query_key, key, "score"]), schema)
     order = [F.desc("score"), F.col(key)]
     near = pairs.withColumn("r", F.row_number().over(Window.partitionBy(query_key).orderBy(*order))).where(F.col("r") <= k)
     return near.select(query_key, F.col("r").alias("rank"), key, "score")

@@ -13,10 +13,12 @@ from ..functions import text as tx
 from ..functions.sentiment import Scorer
 from ..functions.vectors import Embedder, hashing_embedder
 from ..operators import checkpoints as ck
-from ..operators import conflict, intent, mood, persona, retrieval, segmentation
+from ..operators import conflict, intent, mood, persona, postings, retrieval, segmentation
 from ..operators.intent import IntentModel
+from ..operators.postings import Postings
 from ..sources import sinks
 from ..sources.conversations import from_csv, scenarios
+from ..sources.stores import OrderedTable
 from . import answers
 
 #: The suggested questions by category.
@@ -59,6 +61,9 @@ class Engine:
     embedder: Embedder = field(default_factory=hashing_embedder)
     scorer: Scorer | None = None
     model: IntentModel | None = None
+    #: Pages come from here where a table is stored in order, mentions from the index where there is one.
+    pages: dict[str, OrderedTable] = field(default_factory=dict)
+    postings: Postings | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -96,9 +101,14 @@ class Engine:
         return persona.persona_summary(self.table("personas"))
 
     def page(self, name: str, by: str, number: int = 1, size: int = 20, drop: Sequence[str] = ("messages",)) -> dict:
-        rows = self.table(name)
-        total = rows.count()
-        return {"rows": [r.asDict(True) for r in retrieval.page(rows.drop(*drop), by, number, size).collect()], "page": number, "total": total, "total_pages": math.ceil(total / size)}
+        """One page in order of `by`. Tables stored in that order are read in the page's ranges only, and counted by their directory."""
+        stored = self.pages.get(name)
+        if stored is not None and stored.by == [by]:
+            total, found = stored.total(), stored.page(number, size).drop(*drop)
+        else:
+            rows = self.table(name)
+            total, found = rows.count(), retrieval.page(rows.drop(*drop), by, number, size)
+        return {"rows": [r.asDict(True) for r in found.collect()], "page": number, "total": total, "total_pages": math.ceil(total / size)}
 
     def topics(self, number: int = 1, size: int = 20, named: str | None = None) -> dict:
         """A page of topics; `named` keeps those of the page whose label holds it, in any case."""
@@ -156,23 +166,34 @@ class Engine:
         entity = self.spark.range(1).select(tx.entity_of(F.lit(question))).first()[0]
         if not entity:
             return {"entity": None, "answer": answers.merged_text(None, [], []), "mentions": [], "contradictions": []}
-        found = conflict.mentions_of(entity, self.table("messages"), self.tables.get("topics"), self.scorer)
-        top = found.where(F.col("pos") <= most).orderBy("pos").collect()
-        pairs = conflict.contradictions(found).orderBy(F.desc("confidence"), "a", "b").limit(most).collect()
-        shown = conflict.summarised(found.where(F.col("pos") <= most)).collect()
+        if self.postings is not None:
+            found = postings.mentions_by_index(entity, self.postings, self.table("messages"), self.tables.get("topics"), self.scorer)
+        else:
+            found = conflict.mentions_of(entity, self.table("messages"), self.tables.get("topics"), self.scorer)
+        first = found.where(F.col("pos") <= most)
+        top, shown = first.orderBy("pos").collect(), conflict.summarised(first).collect()
+        pairs = conflict.strongest(found, most).orderBy("place").drop("place").collect()
         return {"entity": entity, "answer": answers.merged_text(entity, top, pairs), "mentions": [r.asDict() for r in shown], "contradictions": [r.asDict(True) for r in pairs]}
 
 
+#: Tables whose pages are asked for, and the column that orders them.
+PAGED = {"topics": "topic_id", "checkpoints": "checkpoint_id", "mood_timeline": "day"}
+
+
 def build(spark: SparkSession, csv: str, out: str, embedder: Embedder | None = None, threshold: float = segmentation.THRESHOLD) -> Engine:
     """Parse transcripts, write every artifact as Parquet under `out`, and open an engine on them."""
     embed = embedder or hashing_embedder()
-    sinks.save(from_csv(spark, csv), f"{out}/messages")
+    blocked = from_csv(spark, csv).withColumn("block", F.floor(F.col("global_index") / postings.MESSAGES).cast("int"))
+    blocked.write.mode("overwrite").partitionBy("block").parquet(f"{out}/messages")
     messages = spark.read.parquet(f"{out}/messages")
     sinks.save(segmentation.topics(segmentation.detect_topics(retrieval.vector_index(messages, F.col("text"), embed), "vec", threshold=threshold)), f"{out}/topics")
     topics = spark.read.parquet(f"{out}/topics")
     sinks.save(ck.checkpoints(messages), f"{out}/checkpoints")
     sinks.save(persona.personas(messages), f"{out}/personas")
     sinks.save(mood.mood_timeline(messages, topics), f"{out}/mood_timeline")
+    for name, by in PAGED.items():
+        OrderedTable.write(spark.read.parquet(f"{out}/{name}"), f"{out}/pages/{name}", [by])
+    Postings(spark, f"{out}/postings").append(postings.of_messages(messages)).append(postings.of_topics(topics))
     sinks.save(retrieval.topic_index(topics.drop("messages"), embed), f"{out}/topic_index")
     sinks.save(retrieval.chunk_index(ck.chunks(messages), embed), f"{out}/chunk_index")
     sinks.save(retrieval.checkpoint_index(spark.read.parquet(f"{out}/checkpoints"), embed), f"{out}/checkpoint_index")
@@ -211,4 +232,5 @@ def load_scenarios(engine: Engine, path: str) -> Engine:
 
 def load(spark: SparkSession, out: str, embedder: Embedder | None = None, lite: bool = False) -> Engine:
     names = ["topics", "checkpoints", "personas", "mood_timeline", "topic_index", "chunk_index", "checkpoint_index"] + ([] if lite else ["messages"])
-    return Engine(spark, {n: spark.read.parquet(f"{out}/{n}") for n in names}, embedder or hashing_embedder())
+    pages = {name: OrderedTable(spark, f"{out}/pages/{name}", [by]) for name, by in PAGED.items()}
+    return Engine(spark, {n: spark.read.parquet(f"{out}/{n}") for n in names}, embedder or hashing_embedder(), pages=pages, postings=None if lite else Postings(spark, f"{out}/postings"))

@@ -6,6 +6,8 @@ The conversations are invented syllables, so word lists here are the corpus's ow
 # ruff: noqa: E501
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from ..functions import lexicons as lex
 from ..functions import text as tx
 from ..functions.sentiment import lexicon_scorer
 from ..functions.vectors import cosine, dot, hashing_embedder
-from ..operators import checkpoints, conflict, intent, mood, persona, retrieval, segmentation
+from ..operators import checkpoints, conflict, intent, mood, persona, postings, retrieval, segmentation
+from ..operators.vector_index import VectorIndex
 from ..sources import conversations as source
+from ..sources.stores import OrderedTable, scratch
 
 STOP = ("the", "and", "der", "que", "les", "los", "con")
 TRAITS = {"plain": ("the", "of", "and"), "strict": ("der", "und", "die"), "lively": ("que", "les", "los")}
@@ -429,6 +433,84 @@ def contradictions_all(spark, sf):
     return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("contradiction_type").alias("type"), F.round("confidence", 3).alias("confidence"), "detail")
 
 
+#: Entities whose strongest contradictions are asked for together.
+ENTITIES = (ENTITY, "this", "und", "les")
+WHOLE = "regexp_matches(text, '(?i)(^|[^0-9A-Za-z_À-ÿ])' || entity || '($|[^0-9A-Za-z_À-ÿ])')"
+OF_ENTITIES = f"""{SCORED}, e AS (SELECT *, s / sqrt(s * s + 15.0) AS compound FROM q, (VALUES {", ".join(f"('{e}')" for e in ENTITIES)}) t(entity) WHERE {WHOLE}),
+k AS (SELECT *, round(0.6 * gi / greatest(max(gi) OVER (PARTITION BY entity), 1) + 0.4 * abs(compound), 4) AS rank_score FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY rank_score DESC, gi) AS pos FROM k)"""
+
+
+def mentions_of_all(spark, sf) -> DataFrame:
+    m = messages(spark, sf)
+    return conflict.ranked(reduce(DataFrame.unionByName, [conflict.message_mentions(m, e, count_scorer) for e in ENTITIES]))
+
+
+@query(f"""WITH {MSGS}, {OF_ENTITIES}, c AS (SELECT *, round(compound, 9) AS v, list_filter(list_distinct({BLANKS}), lambda x: length(x) > 2 AND x NOT IN ({listed(lex.CONTENT_STOP_WORDS)})) AS w, list_has_any({BLANKS}, ['was', 'by', 'from']) AS neg FROM r),
+p AS (SELECT a.entity, a.pos AS pa, b.pos AS pb, a.gi AS a, b.gi AS b, CASE WHEN (a.compound > 0.3 AND b.compound < -0.3) OR (a.compound < -0.3 AND b.compound > 0.3) THEN abs(a.v - b.v) / 2 END AS flip,
+ CASE WHEN a.neg <> b.neg AND len(list_intersect(a.w, b.w)) >= 2 THEN array_to_string(list_sort(list_intersect(a.w, b.w)), ', ') END AS shared, CASE {opposite_sql('a', 'b')} END AS verb FROM c a JOIN c b ON a.entity = b.entity AND a.pos < b.pos),
+u AS (SELECT entity, pa, pb, a, b, flip AS c, 0 AS i, 'sentiment_flip' AS type, '' AS detail FROM p WHERE flip IS NOT NULL UNION ALL SELECT entity, pa, pb, a, b, 0.7::DOUBLE, 1, 'negation', shared FROM p WHERE shared IS NOT NULL
+ UNION ALL SELECT entity, pa, pb, a, b, 0.8::DOUBLE, 2, 'verb', verb FROM p WHERE verb IS NOT NULL),
+best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY entity, pa, pb ORDER BY c DESC, i) = 1)
+SELECT entity, (row_number() OVER (PARTITION BY entity ORDER BY c DESC, pb, pa))::INT AS place, a, b, type, round(c, 3) AS confidence, detail FROM best QUALIFY place <= 10""")
+def contradictions_topk(spark, sf):
+    found = conflict.strongest(mentions_of_all(spark, sf), 10, negations=("was", "by", "from"), pairs=OPPOSITE)
+    return found.select("entity", "place", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("contradiction_type").alias("type"), "confidence", "detail")
+
+
+def indexed(spark, sf) -> tuple[postings.Postings, DataFrame, DataFrame]:
+    """An index of messages and topics, appended in three batches; messages are stored in blocks."""
+    path, m = scratch(spark, "postings"), messages(spark, sf)
+    m.withColumn("block", F.floor(F.col("global_index") / postings.MESSAGES).cast("int")).write.partitionBy("block").parquet(f"{path}/messages")
+    stored = spark.read.parquet(f"{path}/messages")
+    t = stored.groupBy(F.floor(F.col("global_index") / 7).alias("topic_id")).agg(F.max("global_index").alias("end_msg_index"), F.min_by("text", "global_index").alias("summary"))
+    t = t.withColumn("topic_label", F.concat(F.lit("topic "), F.col("topic_id").cast("string"))).withColumn("key_entities", F.array(F.concat(F.lit("item "), (F.col("topic_id") % 5).cast("string"))))
+    early = F.col("conversation_index") % 2 == 0
+    index = postings.Postings(spark, f"{path}/index")
+    for texts in (postings.of_messages(stored.where(early)), postings.of_messages(stored.where(~early)), postings.of_topics(t)):
+        index = index.append(texts)
+    return index, stored, t
+
+
+@query(f"""WITH {MSGS}, x AS (SELECT 'message' AS source, gi AS id, text, gi AS idx FROM msgs UNION ALL SELECT 'topic', gi // 7, arg_min(text, gi), max(gi) FROM msgs GROUP BY gi // 7),
+{SCORED.replace("FROM msgs", "FROM x")}, e AS (SELECT entity, q.*, s / sqrt(s * s + 15.0) AS compound FROM q, (VALUES ('{ENTITY}'), ('les'), ('item 3'), ('topic 12'), ('of the'), ('of of'), ('zzz')) t(entity)
+ WHERE {WHOLE} OR (source = 'topic' AND entity IN ('topic ' || id, 'item ' || id % 5))),
+k AS (SELECT *, round(0.6 * idx / greatest(max(idx) OVER (PARTITION BY entity), 1) + 0.4 * abs(compound), 4) AS rank_score FROM e)
+SELECT entity, source, id, round(compound, 6) AS compound, (row_number() OVER (PARTITION BY entity ORDER BY rank_score DESC, source, id))::INT AS pos FROM k""")
+def entity_lookup_index(spark, sf):
+    index, m, t = indexed(spark, sf)
+    found = [postings.mentions_by_index(e, index, m, t, count_scorer) for e in (ENTITY, "les", "item 3", "topic 12", "of the", "of of", "zzz")]
+    return reduce(DataFrame.unionByName, found).select("entity", "source", "id", F.round("compound", 6).alias("compound"), "pos")
+
+
+@query(f"""WITH {MSGS}, t AS (SELECT gi, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_ß-öø-ÿ]+'), lambda x: x <> '')) AS word FROM msgs)
+SELECT word, count(DISTINCT gi) AS df, count(*) AS n FROM t WHERE word IN ('the', 'und', 'les', 'with', 'tion', 'zzz') GROUP BY word""")
+def word_frequencies_index(spark, sf):
+    path = scratch(spark, "postings")
+    texts = postings.of_messages(messages(spark, sf))
+    index = postings.Postings(spark, path).append(texts.where("key % 3 = 0")).append(texts.where("key % 3 <> 0"))
+    return index.frequencies(["the", "und", "les", "with", "tion", "zzz"])
+
+
+@query(ORACLE_SQL["vector_topk_batch"])
+def vector_index_topk(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    index = VectorIndex.build(e, scratch(spark, "vectors"), "vec_id")
+    return index.top_k_batch(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 5, "query_id").withColumn("score", F.round("score", 6))
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) AS place FROM documents")
+def order_places(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", "n_chars")
+    return OrderedTable.write(rows, scratch(spark, "ordered"), [F.desc("n_chars"), "doc_id"], per_range=200).placed().select("doc_id", "place")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 37 OFFSET (SELECT (count(*) // 74) * 37 FROM documents)")
+def deep_page(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", "n_chars")
+    table = OrderedTable.write(rows, scratch(spark, "ordered"), ["n_chars", "doc_id"], per_range=200)
+    return table.page(table.total() // 74 + 1, 37)
+
+
 @query(f"WITH {MSGS} SELECT gi AS global_index, speaker FROM msgs ORDER BY gi LIMIT 20 OFFSET 40")
 def pagination(spark, sf):
     return retrieval.page(messages(spark, sf), "global_index", 3, 20).select("global_index", "speaker")
