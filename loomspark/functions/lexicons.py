@@ -75,7 +75,7 @@ HABIT_PATTERNS = {
         r"i (?:love|like|enjoy)\s+(.*?)(?:\.|!|$)",
     ),
 }
-#: The endings of an occupation, in the order and with the repeats of the pattern they make.
+#: The endings of an occupation, in the order and with the repeats of the pattern they make; every one of them is a job title.
 OCCUPATIONS = (
     "engineer|doctor|nurse|teacher|student|developer|designer|manager|chef|firefighter|librarian|barista|programmer|artist|musician|writer"
     "|photographer|lawyer|accountant|scientist|researcher|analyst|consultant|pilot|driver|mechanic|electrician|plumber|carpenter|farmer"
@@ -201,7 +201,17 @@ OPPOSITES = (
     ("peace", "argument"), ("calm", "angry"), ("trust", "distrust"), ("planning", "cancelled"),
 )
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2702}-\x{27B0}\x{FE00}-\x{FE0F}\x{200D}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]"
-EMOTICONS = r"[\x{1F600}-\x{1F63F}\x{1F910}-\x{1F93F}\x{1F940}-\x{1F97F}\x{1F980}-\x{1F9BF}\x{1F9C0}-\x{1F9FF}\x{1FA70}-\x{1FABF}]|[:;]-?[)(DPpOo/\\|]|<3|:'[(]|xD|XD|:\)|;\)|:D"
+#: The emoji ranges one by one, and the emoticons, of the personas.
+EMOTICON_RANGES = (
+    r"\x{1F600}-\x{1F63F}", r"\x{1F910}-\x{1F93F}", r"\x{1F940}-\x{1F97F}", r"\x{1F980}-\x{1F9BF}", r"\x{1F9C0}-\x{1F9FF}", r"\x{1FA70}-\x{1FA7F}", r"\x{1FA80}-\x{1FABF}", r"\x{1FAC0}-\x{1FAFF}",
+)
+EMOTICONS = rf"[{''.join(EMOTICON_RANGES)}]|[:;]-?[)(DPpOo/\\|]|<3|:'[(]|xD|XD|:\)|;\)|:D"
+#: The cue words of each aspect of a persona question; the first aspect with a cue counts.
+ASPECT_CUES = {
+    "habits": ("habit", "routine", "daily", "sleep", "eat", "food", "exercise"),
+    "style": ("talk", "communicate", "style", "tone", "emoji", "how do they"),
+    "personality": ("personality", "trait", "character", "kind of person", "type of person", "describe"),
+}
 
 #: Own small valence table for the default sentiment scorer.
 VALENCE = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -119,15 +119,9 @@ def target_user(text: Text) -> Column:
     return F.when(low.contains("user 1") | low.contains("user1"), "User 1").when(low.contains("user 2") | low.contains("user2"), "User 2")
 
 
-def aspect(text: Text) -> Column:
-    """What a persona question asks for; the first that matches."""
-    low = F.lower(col(text))
-    return (
-        F.when(low.rlike("habit|routine|daily"), "habits")
-        .when(low.rlike("talk|communicat|style|tone|emoji"), "style")
-        .when(low.rlike("personality|trait|kind of person|type of person|character"), "personality")
-        .otherwise("full")
-    )
+def aspect(text: Text, cues: Mapping[str, Sequence[str]] = lex.ASPECT_CUES) -> Column:
+    """What a persona question asks for: the first aspect with a cue in it, or full."""
+    return F.coalesce(*[F.when(contains_any(text, words), F.lit(name)) for name, words in cues.items()], F.lit("full"))
 
 
 def entity_of(question: Text, prefer_last_about: bool = True, patterns: Sequence[str] = lex.ENTITY_PATTERNS, known: Sequence[str] = lex.ENTITY_WORDS, stop: Sequence[str] = lex.ENTITY_STOP_WORDS) -> Column:

@@ -21,8 +21,8 @@ PARTS = 32
 CLASSES = ("reminder", "emotional-support", "action-item", "small-talk")
 #: Own default templates and slot values; both are arguments.
 TEMPLATES = {
-    "reminder": ("remind me to {task} {when}", "don't let me forget to {task} {when}", "set a reminder for {when} to {task}", "please remember that i have to {task} {when}", "can you ping me {when} about {topic}", "i need an alert {when} so i {task}"),
-    "emotional-support": ("i feel so {feeling} about {topic}", "everything feels {feeling} since {topic} went wrong", "i'm {feeling} and don't know what to do", "it hurts, i am really {feeling}", "nobody understands how {feeling} i am about {topic}", "i can't sleep, i'm too {feeling}"),
+    "reminder": ("remind me to {task} {when}", "i must not forget to {task} {when}, remind me", "a reminder {when}: {task}", "please remember that i have to {task} {when}", "can you ping me {when} about {topic}", "i need an alert {when} so i {task}"),
+    "emotional-support": ("{topic} leaves me {feeling}", "everything feels {feeling} since {topic} went wrong", "i'm {feeling} and don't know what to do", "it hurts, i am really {feeling}", "nobody understands how {feeling} i am about {topic}", "i can't sleep, i'm too {feeling}"),
     "action-item": ("we should {task} and send {person} the result", "please {task} and report to {person}", "{person} has to {task} by {when}", "action point: {task}", "next step is that {person} will {task}", "assign {person} to {task} before {when}"),
     "small-talk": ("hey, how was your weekend", "did you see {topic} last night", "nice weather, {person} said it stays sunny", "what music do you like these days", "haha {person} told me the same about {topic}", "how is {person} doing, long time no see"),
 }
@@ -43,8 +43,8 @@ HARD_CASES = {
     "small-talk": ("i forgot how good that show is", "i'm not sad it rained, it was nice", "the meeting was funny today", "anything fun planned"),
 }
 #: Words and what the augmentation may put in their place, and its fillers; both are arguments.
-SYNONYMS = {"remind": ("alert", "notify", "nudge"), "please": ("pls", "kindly"), "we should": ("we must", "let us"), "feel": ("am feeling",), "how": ("so how",)}
-FILLERS = ("um", "uh", "like", "so", "well", "hmm")
+SYNONYMS = {"report": ("memo", "write-up"), "call": ("phone", "speak to"), "we should": ("we ought to", "it is time to"), "tomorrow": ("the day after today",), "really": ("truly", "deeply")}
+FILLERS = ("er", "actually", "anyway", "you know", "right then", "by the way")
 
 
 def picked(values: Sequence[str], salt: str, seed: int) -> Column:
@@ -57,9 +57,9 @@ def changed(text: Column, turn: str, seed: int, synonyms: Mapping[str, Sequence[
     swaps = [F.when(F.lower(text).contains(w), F.regexp_replace(text, f"(?i){w}", picked(to, f"{turn} {w}", seed))) for w, to in synonyms.items()]
     filler = picked(fillers, f"{turn} filler", seed)
     placed = F.when(picked(("front", "end"), f"{turn} place", seed) == "front", F.concat_ws(" ", filler, text)).otherwise(F.concat_ws(" ", text, filler))
-    case = picked(("lower", "title", "upper"), f"{turn} case", seed)
-    cased = F.when(case == "lower", F.lower(text)).when(case == "title", F.initcap(text)).when(F.length(text) < 50, F.upper(text)).otherwise(text)
-    ended = F.concat(F.regexp_replace(text, r"[.!?]+$", ""), picked(("!", "!!", "...", "?", ""), f"{turn} end", seed))
+    first = F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1_000_000))
+    cased = F.when(picked(("first", "all"), f"{turn} case", seed) == "first", first).otherwise(F.upper(text))
+    ended = F.concat(F.rtrim(text), picked((" ?!", " :)", ";", " -", ".."), f"{turn} end", seed))
     change = picked(("none", "synonym", "filler", "case", "end"), f"{turn} change", seed)
     return F.when(change == "synonym", F.coalesce(*swaps, text)).when(change == "filler", placed).when(change == "case", cased).when(change == "end", ended).otherwise(text)
 

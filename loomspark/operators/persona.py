@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def style(messages: DataFrame, formal: Sequence[str] = lex.FORMAL_WORDS, informa
     out = a.select(
         "speaker", "message_count", F.round("avg_words", 1).alias("avg_words"), F.round("avg_length", 1).alias("avg_length"), length_style(F.col("avg_words")).alias("length_style"),
         F.col("emoji").alias("emoji_count"), F.round(F.col("emoji") / n, 3).alias("emoji_rate"), rate_level(F.col("emoji") / n, 0.5, 0.1, ("heavy", "moderate", "minimal")).alias("emoji_level"),
-        F.col("bang").alias("exclamations"), rate_level(F.col("bang") / n, 1.5, 0.5, ("very expressive (heavy exclamation use)", "moderately expressive", "calm/reserved")).alias("enthusiasm"),
+        F.col("bang").alias("exclamations"), F.round(F.col("bang") / n, 3).alias("exclamation_rate"), F.round(F.col("ask") / n, 3).alias("question_rate"), rate_level(F.col("bang") / n, 1.5, 0.5, ("very expressive (heavy exclamation use)", "moderately expressive", "calm/reserved")).alias("enthusiasm"),
         F.col("ask").alias("questions"), (F.col("ask") > 0.2 * n).alias("asks_questions"), F.col("formal").alias("formal_words"), F.col("informal").alias("informal_words"), formality.alias("formality"),
         F.when(F.col("avg_words") > 10, "engaged").otherwise("brief").alias("responsive_style"),
     )
@@ -95,23 +96,42 @@ def evidence(messages: DataFrame, cues: Mapping[str, tuple[Sequence[str], int]]
     return ranked.where(F.col("rank") <= max((n for _, n in cues.values()), default=0)).where("rank <= most").select("speaker", "category", "rank", "line")
 
 
-def ordered(rows: DataFrame, name: str, fields: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(speaker, name): the rows of each speaker as an ordered array of structs."""
-    listed = F.array_sort(F.collect_list(F.struct(F.struct(*by).alias("o"), F.struct(*fields).alias("x"))))
-    return rows.groupBy("speaker").agg(F.transform(listed, lambda v: v["x"]).alias(name))
+#: Entries of each list of an assembled persona; all of them are rows of details().
+LISTED = 1000
 
 
-def personas(messages: DataFrame) -> DataFrame:
-    """One row per speaker with habits, personal_facts, personality_traits, communication_style and evidence."""
-    held = evidence(messages).groupBy("speaker", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("lines"))
+def details(messages: DataFrame, habit_patterns: Patterns = lex.HABIT_PATTERNS, fact_patterns: Patterns = lex.FACT_PATTERNS) -> DataFrame:
+    """(speaker, kind, category, detail, evidence, confidence, place): every habit and personal fact, one a row, however many a speaker has."""
+    kinds = (("habits", habits(messages, habit_patterns)), ("personal_facts", facts(messages, fact_patterns)))
+    return reduce(DataFrame.unionByName, [found.select("speaker", F.lit(kind).alias("kind"), "category", "detail", "evidence", "confidence", "place") for kind, found in kinds])
+
+
+def first_of(rows: DataFrame, key: Sequence[str], by: Sequence[str], fields: Sequence[str], name: str, most: int) -> DataFrame:
+    """(key, name, name_count): the first `most` rows of each key as an ordered array of structs, and how many there are.
+
+    Each task keeps its own first `most` rows before the shuffle and sends one count, so no task ever holds all rows of a key.
+    """
+    count = rows.groupBy(*key).agg(F.count("*").alias(f"{name}_count"))
+    first = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).where(F.col("__r") <= most)
+    listed = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.struct(*fields).alias("x")))), lambda v: v["x"]).alias(name))
+    return count.join(listed, list(key))
+
+
+def personas(messages: DataFrame, habit_patterns: Patterns = lex.HABIT_PATTERNS, fact_patterns: Patterns = lex.FACT_PATTERNS, lexicon: Mapping[str, Sequence[str]] = lex.TRAITS, cues: Mapping[str, tuple[Sequence[str], int]] = lex.EVIDENCE, tokens: Callable = word_set, most: int = LISTED) -> DataFrame:
+    """One row per speaker with habits, personal_facts, personality_traits, communication_style and evidence.
+
+    Lists hold their first `most` entries, and their counts all; details() has every entry as a row.
+    """
+    held = evidence(messages, cues).groupBy("speaker", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("lines"))
     mapped = held.groupBy("speaker").agg(F.map_from_entries(F.collect_list(F.struct("category", "lines"))).alias("evidence"))
-    t = traits(messages).withColumn("down", -F.col("occurrence_count"))
+    t = traits(messages, lexicon, tokens=tokens).withColumn("down", -F.col("occurrence_count"))
     s = style(messages)
     out = s.select("speaker", "message_count", F.struct(*[c for c in s.columns if c not in ("speaker", "message_count")]).alias("communication_style"))
+    fields = ["category", "detail", "evidence", "confidence"]
     for part in (
-        ordered(habits(messages), "habits", ["category", "detail", "evidence", "confidence"], ["place"]),
-        ordered(facts(messages), "personal_facts", ["category", "detail", "evidence", "confidence"], ["place"]),
-        ordered(t, "personality_traits", ["trait", "score", "occurrence_count", "evidence_samples"], ["down", "first"]),
+        first_of(habits(messages, habit_patterns), ["speaker"], ["place"], fields, "habits", most),
+        first_of(facts(messages, fact_patterns), ["speaker"], ["place"], fields, "personal_facts", most),
+        first_of(t, ["speaker"], ["down", "first"], ["trait", "score", "occurrence_count", "evidence_samples"], "personality_traits", most),
         mapped,
     ):
         out = out.join(part, "speaker", "left")
@@ -127,7 +147,8 @@ def facts_by_category(found: DataFrame, most: int = 3) -> DataFrame:
 def persona_summary(people: DataFrame, most: int = 5) -> DataFrame:
     """Counts and the first entries of each list."""
     lists = ("habits", "personal_facts", "personality_traits")
-    filled = [F.coalesce(F.size(c), F.lit(0)).alias(f"{c}_count") for c in lists] + [F.slice(c, 1, most).alias(f"top_{c}") for c in lists]
+    counted = lambda c: F.coalesce(f"{c}_count", F.lit(0)) if f"{c}_count" in people.columns else F.coalesce(F.size(c), F.lit(0))
+    filled = [counted(c).alias(f"{c}_count") for c in lists] + [F.slice(c, 1, most).alias(f"top_{c}") for c in lists]
     return people.select("user_id", "message_count", *filled, "communication_style")
 
 

@@ -14,23 +14,28 @@ def bar(score: float, width: int = 10) -> str:
     return "█" * filled + "░" * (width - filled)
 
 
-def persona_text(people: Sequence[Row], aspect: str = "full") -> str:
-    """What is known of each speaker, by aspect: habits, style, personality or full."""
+def persona_text(people: Sequence[Row], aspect: str = "full", topics: Sequence[Row] = ()) -> str:
+    """What is known of each speaker, by aspect (habits, style, personality or full), and the topics that go with the question."""
     out = []
     for p in people:
         out.append(f"**{p['user_id']}** ({p['message_count']} messages)")
         if aspect in ("habits", "full"):
-            out += [f"- {h['category'].replace('_', ' ').title()}: {h['detail']}" for h in (p["habits"] or [])[:10]]
+            for h in (p["habits"] or [])[:10]:
+                out += [f"- {h['category'].replace('_', ' ').title()}: {h['detail']}", f"  from: {h['evidence'][:150]}"]
         if aspect in ("style", "full") and p["communication_style"]:
             s = p["communication_style"]
-            out.append(f"- Writes {s['length_style']} messages, about {s['avg_words']} words; tone {s['formality']}, {s['enthusiasm']}")
+            out.append(f"- Writes {s['length_style']} messages, about {s['avg_words']} words; tone {s['formality']}, {s['enthusiasm']}; emoji use {s['emoji_level']}")
         if aspect in ("personality", "full"):
-            out += [f"- {t['trait'].replace('_', ' ').title()}: {bar(t['score'])} {t['score']:.0%}" for t in (p["personality_traits"] or [])[:5]]
+            for t in (p["personality_traits"] or [])[:8]:
+                out.append(f"- {t['trait'].replace('_', ' ').title()}: {bar(t['score'])} {t['score']:.0%}")
+                out += [f"  as in: {x[:120]}" for x in (t["evidence_samples"] or [])[:1]]
         if aspect == "full":
             by: dict[str, list[str]] = {}
             for f in p["personal_facts"] or []:
                 by.setdefault(f["category"], []).append(f["detail"])
             out += [f"- {k.replace('_', ' ').title()}: {'; '.join(v[:3])}" for k, v in by.items()]
+    if out and topics:
+        out += ["Talked about in:"] + [f"- {t['topic_label']} (messages {t['start_msg_index']}-{t['end_msg_index']})" for t in topics[:3]]
     return "\n".join(out) or "No persona is stored."
 
 

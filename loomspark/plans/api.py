@@ -84,7 +84,7 @@ class Engine:
         found = self.retrieve(question, top)
         if one["p"] and "personas" in self.tables:
             people = self.table("personas") if one["u"] is None else self.table("personas").where(F.col("user_id") == one["u"])
-            text = answers.persona_text(people.collect(), one["a"])
+            text = answers.persona_text(people.collect(), one["a"], found["topics"].limit(3).collect())
         else:
             text = answers.contextual_text(question, found)
         shown = found["topics"].select("topic_id", "topic_label", F.left("summary", F.lit(200)).alias("preview"), F.round("relevance_score", 3).alias("relevance"))

@@ -15,7 +15,7 @@ from ..functions import lexicons as lex
 from ..functions import text as tx
 from ..functions.sentiment import lexicon_scorer
 from ..functions.vectors import cosine, dot, hashing_embedder
-from ..operators import checkpoints, conflict, intent, mood, persona, postings, retrieval, segmentation
+from ..operators import checkpoints, conflict, intent, lexicon, linear, mood, persona, postings, retrieval, segmentation
 from ..operators.vector_index import VectorIndex
 from ..sources import conversations as source
 from ..sources.stores import OrderedTable, scratch
@@ -125,15 +125,15 @@ def topic_labels(spark, sf):
     return segmentation.topic_labels(m, STOP, portable=True)
 
 
-@query(f"""WITH {MSGS}, f AS (SELECT speaker, {BLANKS} AS w, text, gi FROM msgs), a AS (SELECT speaker, count(*) AS message_count, round(avg(len(w)), 1) AS avg_words, round(avg(length(text)), 1) AS avg_length, avg(len(w)) AS aw,
+@query(f"""WITH {MSGS}, f AS (SELECT speaker, {BLANKS} AS w, text, gi FROM msgs), a AS (SELECT speaker, count(*) AS message_count, round(avg(len(w)), 1) AS avg_words, round(avg(length(text)), 1) AS avg_length, avg(len(w)) AS aw, round(sum(length(text) - length(replace(text, '!', ''))) / count(*), 3) AS exclamation_rate, round(sum(length(text) - length(replace(text, '?', ''))) / count(*), 3) AS question_rate,
   sum(len(list_distinct(list_filter(w, lambda x: x IN ('the', 'of'))))) AS formal_words, sum(len(list_distinct(list_filter(w, lambda x: x IN ('and', 'is', 'und'))))) AS informal_words FROM f GROUP BY speaker),
 g AS (SELECT speaker, bool_or(regexp_matches(lower(text), '^(the|der|la)')) AS uses_greetings FROM (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY gi) AS r FROM msgs) WHERE r <= 50 GROUP BY speaker)
-SELECT a.speaker, message_count, avg_words, avg_length, CASE WHEN aw < 8 THEN 'brief' WHEN aw < 20 THEN 'moderate' ELSE 'verbose' END AS length_style, formal_words::BIGINT AS formal_words, informal_words::BIGINT AS informal_words,
+SELECT a.speaker, message_count, avg_words, avg_length, exclamation_rate, question_rate, CASE WHEN aw < 8 THEN 'brief' WHEN aw < 20 THEN 'moderate' ELSE 'verbose' END AS length_style, formal_words::BIGINT AS formal_words, informal_words::BIGINT AS informal_words,
 CASE WHEN informal_words > 2 * formal_words THEN 'very informal/casual' WHEN informal_words > formal_words THEN 'mostly informal' WHEN formal_words > informal_words THEN 'somewhat formal' ELSE 'balanced/neutral' END AS formality,
 CASE WHEN aw > 10 THEN 'engaged' ELSE 'brief' END AS responsive_style, uses_greetings FROM a JOIN g USING (speaker)""")
 def speaker_style(spark, sf):
     s = persona.style(messages(spark, sf), ("the", "of"), ("and", "is", "und"), ("the", "der", "la"))
-    return s.select("speaker", "message_count", "avg_words", "avg_length", "length_style", "formal_words", "informal_words", "formality", "responsive_style", "uses_greetings")
+    return s.select("speaker", "message_count", "avg_words", "avg_length", "exclamation_rate", "question_rate", "length_style", "formal_words", "informal_words", "formality", "responsive_style", "uses_greetings")
 
 
 @query(f"""WITH {MSGS}, t(trait, words) AS (VALUES {", ".join(f"('{k}', [{listed(v)}])" for k, v in TRAITS.items())}),
@@ -263,6 +263,37 @@ def trigger_event(spark, sf):
     return t.select("day", "value", F.array_join(F.transform("evidence", lambda x: x["idx"].cast("string")), ",").alias("evidence"))
 
 
+@query(ORACLE_SQL["trigger_event"])
+def trigger_event_by_table(spark, sf):
+    m = messages(spark, sf)
+    t = lexicon.first_category(m.withColumnRenamed("conversation_index", "day"), "day", "global_index", "text", lexicon.table(spark, EVENTS))
+    return t.select("day", "value", F.array_join(F.transform("evidence", lambda x: x["idx"].cast("string")), ",").alias("evidence"))
+
+
+KEYWORDS = "k AS (SELECT keyword, min(item_id) AS item FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 3)) AS keyword FROM benchmark) GROUP BY keyword)"
+
+
+def keyword_table(spark, sf) -> DataFrame:
+    """The words of the benchmark items as keywords, each in the category of its first item."""
+    words = read(spark, sf, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).where(F.length("keyword") > 3)
+    return words.groupBy("keyword").agg(F.min("item_id").alias("place")).withColumn("category", F.col("place").cast("string"))
+
+
+def keyword_hits(spark, sf, at_most: int | None) -> DataFrame:
+    found = lexicon.contained(messages(spark, sf).select("global_index", "text"), "text", keyword_table(spark, sf), at_most)
+    return found.groupBy("global_index").agg(F.count("*").alias("n"), F.min("place").alias("first_item"), F.min("keyword").alias("least"), F.max("keyword").alias("most"))
+
+
+@query(f"WITH {MSGS}, {KEYWORDS} SELECT gi AS global_index, count(*) AS n, min(item) AS first_item, min(keyword) AS least, max(keyword) AS most FROM msgs JOIN k ON contains(lower(text), keyword) GROUP BY gi")
+def lexicon_table(spark, sf):
+    return keyword_hits(spark, sf, None)
+
+
+@query(ORACLE_SQL["lexicon_table"])
+def lexicon_table_joined(spark, sf):
+    return keyword_hits(spark, sf, 0)
+
+
 def people(text: tx.Text) -> Column:
     return F.array_except(tokens(text), F.array_except(tokens(text), F.array(*[F.lit(x) for x in ("the", "der", "les", "los", "and", "und")])))
 
@@ -527,7 +558,7 @@ def title_bucket_scalars(spark, sf):
 
 
 @query(f"""SELECT doc_id, {" OR ".join(f"contains(lower(text), '{c}')" for c in lex.PERSONA_CUES)} AS persona_query, CASE WHEN contains(lower(text), 'user 1') OR contains(lower(text), 'user1') THEN 'User 1' WHEN contains(lower(text), 'user 2') OR contains(lower(text), 'user2') THEN 'User 2' END AS target,
-CASE WHEN regexp_matches(lower(text), 'habit|routine|daily') THEN 'habits' WHEN regexp_matches(lower(text), 'talk|communicat|style|tone|emoji') THEN 'style' WHEN regexp_matches(lower(text), 'personality|trait|kind of person|type of person|character') THEN 'personality' ELSE 'full' END AS aspect FROM documents""")
+CASE {" ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{k}'" for k, w in lex.ASPECT_CUES.items())} ELSE 'full' END AS aspect FROM documents""")
 def persona_router(spark, sf):
     return read(spark, sf, "documents").select("doc_id", tx.is_persona_query("text").alias("persona_query"), tx.target_user("text").alias("target"), tx.aspect("text").alias("aspect"))
 
@@ -618,26 +649,107 @@ def checkpoint_summaries(spark, sf):
     return c.select("checkpoint_id", F.split("summary", "\nTopics: ")[0].alias("summary"))
 
 
+LEARNED = f"""d AS (SELECT doc_id AS row, quality AS class, {TOKENS} AS w FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL), n AS (SELECT count(*)::DOUBLE AS n FROM d),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY row, term),
+c AS (SELECT term, count(*) AS df, sum(tf) AS tf FROM t GROUP BY term), i AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM c, n WHERE df <= 0.95 * n ORDER BY tf DESC, term LIMIT 2000),
+x AS MATERIALIZED (SELECT row, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY row)) AS weight FROM (SELECT row, term, (ln(tf) + 1) * idf AS weight FROM t JOIN i USING (term))),
+k AS (SELECT DISTINCT class FROM d), w0 AS (SELECT term, class, 0.0::DOUBLE AS w FROM i, k UNION ALL SELECT '', class, 0.0 FROM k)"""
+
+
+def step_sql(s: int) -> str:
+    """The scores, losses and next coefficients of one step."""
+    return f"""z{s} AS (SELECT d.row, k.class, any_value(b.w) + coalesce(sum(v.w * x.weight), 0) AS z FROM d CROSS JOIN k JOIN w{s} b ON b.term = '' AND b.class = k.class LEFT JOIN x ON x.row = d.row LEFT JOIN w{s} v ON v.term = x.term AND v.class = k.class GROUP BY d.row, k.class),
+p{s} AS MATERIALIZED (SELECT z.row, z.class, exp(z) / sum(exp(z)) OVER (PARTITION BY z.row) AS p, (z.class = d.class)::INT AS y FROM z{s} z JOIN d USING (row)),
+l{s} AS (SELECT {s} AS step, sum(-ln(p)) FILTER (y = 1) / any_value(n) AS loss FROM p{s}, n),
+w{s + 1} AS MATERIALIZED (SELECT term, class, w - 2.0 * (coalesce(g, 0) + CASE WHEN term = '' THEN 0 ELSE 0.01 * w END) AS w FROM w{s} LEFT JOIN
+ (SELECT term, p.class, sum(x.weight * (p - y)) / any_value(n) AS g FROM x JOIN p{s} p USING (row), n GROUP BY term, p.class UNION ALL SELECT '', class, sum(p - y) / any_value(n) FROM p{s}, n GROUP BY class) USING (term, class))"""
+
+
+STEPS = 3
+LEARNING = f"WITH {LEARNED}, {', '.join(step_sql(s) for s in range(STEPS + 1))}"
+
+
+def learned(spark, sf) -> tuple[DataFrame, linear.LinearModel]:
+    """Quality learned from the texts of all labelled documents, in STEPS steps."""
+    d = read(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return d, linear.train(d, "doc_id", tokens("text"), "quality", steps=STEPS, rate=2.0, decay=0.01, most=2000)
+
+
+@query(f"{LEARNING} SELECT step, round(loss, 6) AS loss FROM ({' UNION ALL '.join(f'SELECT * FROM l{s}' for s in range(STEPS + 1))})")
+def classifier_loss(spark, sf):
+    _, model = learned(spark, sf)
+    return spark.createDataFrame(list(enumerate(model.losses)), "step int, loss double").withColumn("loss", F.round("loss", 6))
+
+
+@query(f"{LEARNING} SELECT row AS doc_id, round(p, 6) AS p FROM p{STEPS} WHERE class = 1")
+def classifier_scores(spark, sf):
+    d, model = learned(spark, sf)
+    triples = linear.weighted(linear.counted(d, "doc_id", tokens("text")), model.weights)
+    return model.scores(triples, d.select(F.col("doc_id").alias("row"))).where("class = 1").select(F.col("row").alias("doc_id"), F.round("p", 6).alias("p"))
+
+
 @query()
 def valence_of_documents(spark, sf):
     d = read(spark, sf, "documents")
     return d.select("doc_id", lexicon_scorer()("text")["compound"].alias("compound"))
 
 
-@query()
+#: Words whose counts are a vector that SQL can repeat.
+AXES = ("the", "of", "und", "der", "que", "les", "con", "and")
+
+
+def counting_embedder(text: tx.Text) -> Column:
+    words = tx.blank_tokens(F.lower(tx.col(text)))
+    return F.array(*[(F.size(words) - F.size(F.array_remove(words, a))).cast("double") for a in AXES])
+
+
+AXIS_SIMS = f"""u AS (SELECT gi AS place, unnest([{", ".join(f"len(list_filter({BLANKS}, lambda x: x = '{a}'))" for a in AXES)}])::DOUBLE AS x, unnest(range({len(AXES)})) AS d FROM msgs),
+{SIMS.split("FROM v),", 1)[1].strip().replace("sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS sim", "CASE WHEN sum(a * a) * sum(b * b) > 0 THEN sum(a * b) / sqrt(sum(a * a) * sum(b * b)) ELSE 0 END AS sim")}"""
+
+
+@query(f"""WITH RECURSIVE {MSGS}, {AXIS_SIMS}, c AS (SELECT place + 1 AS place FROM t WHERE round(smoothed, 9) < 0.3 UNION SELECT 0),
+g(place) AS (SELECT min(place) FROM c UNION ALL SELECT (SELECT min(c.place) FROM c WHERE c.place >= g.place + 3) FROM g WHERE g.place IS NOT NULL),
+b AS (SELECT place FROM g WHERE place IS NOT NULL), n AS (SELECT gi, speaker, (SELECT count(*) FROM b WHERE b.place <= gi) - 1 AS topic_id FROM msgs)
+SELECT topic_id, min(gi) AS start_msg_index, max(gi) AS end_msg_index, count(*)::INT AS message_count, 'Conversation segment with ' || count(*) || ' messages between ' || array_to_string(list_sort(list(DISTINCT speaker)), ', ') || '.' AS head FROM n GROUP BY topic_id""")
 def detect_topics(spark, sf):
-    m = retrieval.vector_index(messages(spark, sf), F.col("text"))
-    return segmentation.topics(segmentation.detect_topics(m, "vec", threshold=0.3), nested=False)
+    path = scratch(spark, "vectors")
+    retrieval.vector_index(messages(spark, sf), F.col("text"), counting_embedder).write.parquet(path)  # each vector is made once, as build() does
+    m = spark.read.parquet(path)
+    rows = m.where("global_index = 0").select("global_index")
+    sims = segmentation.smoothed(segmentation.centroid_similarity(m, "global_index", "vec"), "global_index").withColumn("smoothed", F.round("smoothed", 9))
+    cut = segmentation.segmented(m, segmentation.boundaries(sims, rows, "global_index", threshold=0.3), "global_index")
+    return segmentation.topics(cut, nested=False).select("topic_id", "start_msg_index", "end_msg_index", "message_count", F.split("summary", "\n")[0].alias("head"))
 
 
-@query()
+def details_sql(name: str, patterns, least: int) -> str:
+    """CTE of (speaker, count, the first five details) of mined patterns; reads n."""
+    found = lambda p: f"regexp_extract_all(low, {listed([p])}, {lex.groups_in(p)})"
+    each = " UNION ALL ".join(f"SELECT speaker, gi, '{k}' AS category, {i} AS c, {j} AS p, unnest({found(p)}) AS raw, unnest(range(len({found(p)}))) AS m FROM n" for i, (k, ps) in enumerate(patterns.items()) for j, p in enumerate(ps))
+    return f"""{name} AS (WITH m AS ({each}), d AS (SELECT *, trim(raw) AS detail FROM m WHERE length(trim(raw)) >= {least}), f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY speaker, category, left(detail, 50) ORDER BY gi, c, p, m) = 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY gi, c, p, m) AS k FROM f) SELECT speaker, count(*) AS n, string_agg(category || '=' || left(detail, 100), '; ' ORDER BY k) FILTER (k <= 5) AS firsts FROM r GROUP BY speaker)"""
+
+
+@query(f"""WITH {FRAMED}, n AS (SELECT speaker, gi, regexp_replace(lower(text), '[\r\n]+', ' ', 'g') AS low FROM msgs), {details_sql("h", lex.HABIT_PATTERNS, 3)}, {details_sql("f", lex.FACT_PATTERNS, 2)},
+t(trait, i, words) AS (VALUES {", ".join(f"('{k}', {i}, [{listed(v)}])" for i, (k, v) in enumerate(TRAITS.items()))}), e AS (SELECT speaker, trait, i, gi, len(list_intersect(list_distinct({TOKENS}), words)) AS n FROM msgs, t),
+s AS (SELECT speaker, trait, sum(n) AS n, min(gi * 10 + i) FILTER (n > 0) AS first FROM e GROUP BY speaker, trait), k AS (SELECT *, round(least(n / greatest(0.5 * max(n) OVER (PARTITION BY speaker), 1.0), 1.0), 3) AS score FROM s),
+p AS (SELECT speaker, count(*) AS n, string_agg(trait || '=' || n, '; ' ORDER BY n DESC, first) AS traits FROM k WHERE score > 0.05 GROUP BY speaker), m AS (SELECT speaker, count(*) AS n, round(avg(length(text)), 1) AS avg_length FROM msgs GROUP BY speaker)
+SELECT m.speaker AS user_id, m.n AS message_count, m.avg_length, h.n AS habits_count, h.firsts AS habits, f.n AS personal_facts_count, f.firsts AS personal_facts, p.n AS personality_traits_count, p.traits FROM m JOIN h USING (speaker) JOIN f USING (speaker) JOIN p USING (speaker)""")
 def personas(spark, sf):
-    return persona.personas(messages(spark, sf)).select("user_id", "message_count", F.coalesce(F.size("habits"), F.lit(0)).alias("habits"), F.coalesce(F.size("personality_traits"), F.lit(0)).alias("traits"))
+    p = persona.personas(framed(spark, sf), lexicon=TRAITS, tokens=tokens, most=5)
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["category"], F.lit("="), x["detail"])), "; ").alias(c)
+    traits = F.array_join(F.transform("personality_traits", lambda x: F.concat(x["trait"], F.lit("="), x["occurrence_count"].cast("string"))), "; ").alias("traits")
+    return p.select("user_id", "message_count", F.col("communication_style.avg_length").alias("avg_length"), "habits_count", shown("habits"), "personal_facts_count", shown("personal_facts"), "personality_traits_count", traits)
 
 
-@query()
+@query(f"""WITH {MSGS}, {MOOD}, {LABELS}, {DRIFT}, e AS ({" UNION ALL ".join(f"SELECT ci, gi, {i} AS i, '{k}' AS type FROM msgs WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) for i, (k, ws) in enumerate(EVENTS.items()) if k != "three")}),
+b AS (SELECT ci, arg_min(type, i) AS type FROM e GROUP BY ci), {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY ci ORDER BY round(abs(s / sqrt(s * s + 15.0)), 12) DESC, gi) AS k FROM q),
+c AS (SELECT ci, CASE WHEN s > 0 THEN 'strong positive sentiment' WHEN s < 0 THEN 'strong negative sentiment' ELSE 'general tone shift' END AS value FROM r WHERE k = 1)
+SELECT day, message_count, array_to_string(labels, ',') AS labels, drift_from_prev, round(coalesce(dist, 0.0), 4) AS drift_distance, CASE WHEN drift_from_prev THEN CASE WHEN b.type IS NULL THEN 'content' ELSE 'event' END END AS trigger,
+CASE WHEN drift_from_prev THEN coalesce(b.type, c.value) END AS value FROM z LEFT JOIN b ON b.ci = day LEFT JOIN c ON c.ci = day""")
 def mood_timeline(spark, sf):
-    return mood.mood_timeline(messages(spark, sf), max_days=None).select("day", "message_count", F.array_join("mood_labels", ",").alias("labels"), "drift_from_prev", "drift_distance", F.col("trigger.type").alias("trigger"))
+    few = {k: w for k, w in EVENTS.items() if k != "three"}
+    full = mood.with_triggers(timeline(spark, sf), messages(spark, sf), None, few, count_scorer)
+    return full.select("day", "message_count", F.array_join("mood_labels", ",").alias("labels"), "drift_from_prev", "drift_distance", F.col("trigger.type").alias("trigger"), F.col("trigger.value").alias("value"))
 
 
 @query()

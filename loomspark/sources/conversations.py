@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import full_text
+from .transcripts import column, records
 
 MESSAGE = "global_index long, conversation_index long, local_index int, speaker string, text string, full_text string"
 SPEAKERS = {"user": "User 1", "assistant": "User 2"}
@@ -23,12 +24,8 @@ SCENARIO = f"scenario_id string, entity string, description string, messages arr
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(conversation_index, record): column 0 of every CSV record, multi-line cells and doubled quotes included.
-
-    Records are numbered by file and position there; a CSV file with multi-line cells is one task.
-    """
-    raw = spark.read.schema("_c0 string").option("multiLine", True).option("quote", '"').option("escape", '"').option("enforceSchema", True).csv(path)
-    return raw.where(F.col("_c0").isNotNull()).select(F.monotonically_increasing_id().alias("conversation_index"), F.col("_c0").alias("record"))
+    """(conversation_index, record): column 0 of every CSV record, multi-line cells and doubled quotes included; a file is read in many tasks."""
+    return records(spark, path).select("conversation_index", column(F.col("text")).alias("record")).where(F.col("record").isNotNull())
 
 
 def parsed(records: DataFrame, pattern: str = LINE) -> DataFrame:
