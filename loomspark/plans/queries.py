@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import text as tx
 from ..functions.sentiment import lexicon_scorer
+from ..functions import valence as rule
 from ..functions.vectors import cosine, dot, hashing_embedder
 from ..operators import checkpoints, conflict, intent, lexicon, linear, mood, persona, postings, retrieval, segmentation
 from ..operators.vector_index import VectorIndex
@@ -688,10 +689,35 @@ def classifier_scores(spark, sf):
     return model.scores(triples, d.select(F.col("doc_id").alias("row"))).where("class = 1").select(F.col("row").alias("doc_id"), F.round("p", 6).alias("p"))
 
 
-@query()
+#: A small lexicon, boosters and negations of the corpus's own words for the published rule.
+VALENCES = {**{w: 1.5 + i / 4 for i, w in enumerate(POSITIVE)}, **{w: -1.25 - i / 4 for i, w in enumerate(NEGATIVE)}, "tion.": 0.7}
+RAISED, TURNING = {"and": 0.293, "is": 0.293, "con": -0.293, "for": -0.293}, ("was", "by", "una", "est")
+
+
+def rule_step(k: int) -> str:
+    """Token k places ahead: booster, capitals and negation."""
+    have = lambda c: f"{c}{k}"
+    boost = f"CASE WHEN {have('b')} = 0 THEN 0 ELSE (CASE WHEN v < 0 THEN -{have('b')} ELSE {have('b')} END) + CASE WHEN {have('up')} AND mixed THEN CASE WHEN v > 0 THEN 0.733 ELSE -0.733 END ELSE 0 END END"
+    return f"r{k} AS (SELECT * REPLACE (CASE WHEN i >= {k} AND lex{k} IS NULL THEN (v + ({boost}) * {rule.DAMPING[k - 1]}) * CASE WHEN {have('neg')} THEN -0.74 ELSE 1 END ELSE v END AS v) FROM r{k - 1})"
+
+
+BARE = r"CASE WHEN length(regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) > 2 THEN regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') ELSE x END"
+AHEAD = ", ".join(f"lag({c}, {k}) OVER o AS {n}{k}" for k in (1, 2, 3) for c, n in (("v", "lex"), ("b", "b"), ("neg", "neg"), ("up", "up"), ("lower(w)", "low")))
+RULE = f"""t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''), lambda x: {BARE}) AS t FROM documents),
+w AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM t), x AS (SELECT doc_id, i, w, v, coalesce(b, 0) AS b, lower(w) IN ({listed(TURNING)}) OR contains(lower(w), 'n''t') AS neg, upper(w) = w AND lower(w) <> w AS up
+ FROM w LEFT JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in VALENCES.items())}) l(token, v) ON lower(w) = token LEFT JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in RAISED.items())}) m(word, b) ON lower(w) = word),
+y AS (SELECT *, bool_or(up) OVER p AND NOT bool_and(up) OVER p AS mixed, {AHEAD} FROM x WINDOW p AS (PARTITION BY doc_id), o AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT * REPLACE (CASE WHEN low1 = 'no' OR low2 = 'no' OR (low3 = 'no' AND low1 IN ('or', 'nor')) THEN v * -0.74 ELSE v END AS v) FROM y WHERE v IS NOT NULL AND b = 0),
+r0 AS (SELECT * REPLACE (CASE WHEN up AND mixed THEN v + CASE WHEN v > 0 THEN 0.733 ELSE -0.733 END ELSE v END AS v) FROM n), {", ".join(rule_step(k) for k in (1, 2, 3))},
+s AS (SELECT doc_id, sum(v) AS s FROM r3 GROUP BY doc_id), f AS (SELECT doc_id, coalesce(s, 0) AS s, least(length(text) - length(replace(text, '!', '')), 4) * 0.292 + CASE WHEN length(text) - length(replace(text, '?', '')) > 3 THEN 0.96 WHEN length(text) - length(replace(text, '?', '')) > 1 THEN (length(text) - length(replace(text, '?', ''))) * 0.18 ELSE 0 END AS force FROM documents LEFT JOIN s USING (doc_id)),
+g AS (SELECT doc_id, s + sign(s) * coalesce(force, 0) AS s FROM f)"""
+
+
+@query(f"WITH {RULE} SELECT doc_id, round(s / sqrt(s * s + 15), 4) AS compound FROM g")
 def valence_of_documents(spark, sf):
-    d = read(spark, sf, "documents")
-    return d.select("doc_id", lexicon_scorer()("text")["compound"].alias("compound"))
+    lexicon_ = spark.createDataFrame(list(VALENCES.items()), "token string, valence double")
+    d = read(spark, sf, "documents").select("doc_id", "text")
+    return rule.scored(d, "doc_id", "text", lexicon_, RAISED, TURNING, idioms={}).select("doc_id", "compound")
 
 
 #: Words whose counts are a vector that SQL can repeat.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import lexicons as lex
 from loomspark.functions import text as tx
+from loomspark.functions import valence
 from loomspark.operators import lexicon, linear, mood, persona
 from loomspark.sources import transcripts
 
@@ -159,3 +160,35 @@ def test_every_emoji_range_counts(spark):
     assert len(ends) == 16
     rows = spark.createDataFrame([(chr(c), True) for c in ends] + [("\U0001fb00", False), (":)", True), ("<3", True), ("a", False)], "t string, on boolean")
     assert rows.where((tx.pattern_count("t", lex.EMOTICONS) > 0) != F.col("on")).count() == 0
+
+
+# the published valence rule
+
+LEXICON = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "horrible": -2.5, "great": 3.1, "sux": -1.5, ":)": 2.0, ":D": 2.3, "bad": -2.5, "uncompelling": -0.9, "sure": 1.3, "bomb": -2.2, "no": -1.2, "\U0001f600": 2.0}
+PUBLISHED = [
+    ("VADER is smart, handsome, and funny.", 0.8316),
+    ("VADER is smart, handsome, and funny!", 0.8439),
+    ("VADER is very smart, handsome, and funny.", 0.8545),
+    ("VADER is VERY SMART, handsome, and FUNNY.", 0.9227),
+    ("VADER is VERY SMART, handsome, and FUNNY!!!", 0.9342),
+    ("VADER is VERY SMART, uber handsome, and FRIGGIN FUNNY!!!", 0.9469),
+    ("VADER is not smart, handsome, nor funny.", -0.7424),
+    ("The book was good.", 0.4404),
+    ("At least it isn't a horrible book.", 0.431),
+    ("The book was only kind of good.", 0.3832),
+    ("The plot was good, but the characters are uncompelling and the dialog is not great.", -0.7042),
+    ("Today SUX!", -0.5461),
+    ("Make sure you :) or :D today!", 0.8633),
+    ("Not bad at all", 0.431),
+]
+OWN = [("", 0.0), (None, 0.0), (" \n ", 0.0), ("nothing listed", 0.0), ("ok\U0001f600", 0.4588), ("good???? ", 0.5940), ("he is the bomb", 0.6124), ("no good", -0.3412), ("least good", -0.3412), ("at least good", 0.4404), ("it is without doubt good", 0.4404), ("never so good", 0.5777)]
+
+
+def test_published_sentences_have_their_scores(spark):
+    texts = [*PUBLISHED, *OWN]
+    rows = spark.createDataFrame([(i, t, 1) for i, (t, _) in enumerate(texts)], "id int, text string, pos int").repartition(3)
+    table = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    boosters = {"very": 0.293, "uber": 0.293, "friggin": 0.293, "kind of": -0.293, "so": 0.293}
+    got = {r.id: r for r in valence.scored(rows, "id", "text", table, boosters, ("not", "nor", "never", "isn't", "without")).collect()}
+    assert {t: got[i].compound for i, (t, _) in enumerate(texts)} == {t: pytest.approx(s, abs=6e-5) for t, s in texts}
+    assert all(r.pos + r.neu + r.neg == pytest.approx(1, abs=2e-3) for r in got.values() if r.compound) and got[len(PUBLISHED)].neu == 0.0
