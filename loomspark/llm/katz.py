@@ -150,7 +150,8 @@ def asked(laid: DataFrame, buckets: int, pairs: bool) -> DataFrame:
                         counts = np.bincount(b.w[b.train], minlength=len(b.words))
                         counts[START] = b.n_train
                         keys, counts = b.words[order], counts[order]
-                    rows = [(k, number, pack(keys[x:y], pairs), squeezed(counts[x:y].astype(np.uint32))) for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
+                    held = np.flatnonzero(np.diff(at))  # buckets without a key of the block get no row and no step of the loop
+                    rows = [(k, number, pack(keys[x:y], pairs), squeezed(counts[x:y].astype(np.uint32))) for k, x, y in zip(held.tolist(), at[held], at[held + 1], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "counts"])
 
     return laid.select("block", "train", "lengths", "tokens", "words").mapInArrow(run, ASK)
@@ -207,8 +208,16 @@ def answers(asks: DataFrame, pairs: bool) -> DataFrame:
 
 
 def statistics(replies: DataFrame) -> np.ndarray:
-    """N, V, n_1 .. n_K+1 over all buckets. One short row a bucket reaches the driver."""
-    rows = replies.where(F.col("block") == STATS).select("data").collect()
+    """N, V, n_1 .. n_K+1 over all buckets. One short row a task reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(K + 3, np.int64)
+        for batch in batches:
+            for data in batch.column(0):
+                total += np.frombuffer(data.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["data"])
+
+    rows = replies.where(F.col("block") == STATS).select("data").mapInArrow(run, "data binary").collect()
     return sum((np.frombuffer(r["data"], np.int64) for r in rows), np.zeros(K + 3, np.int64))
 
 
