@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, small
@@ -41,6 +41,12 @@ def place(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("file://" + root if root.startswith("/") else root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root)
 
 
+def whole(spark: SparkSession, root: str) -> str:
+    """The path with its scheme, so that a bare one is in Hadoop's default file system for tasks, too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def records(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFrame:
     """(record, uri, body, mark): mark is a hash by which a row finds its own digest again."""
     rows = pages.select(F.col(page_id).cast("long").alias("record"), F.col(url).cast("string").alias("uri"), F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary")).alias("body"))
@@ -99,7 +105,7 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
     plan = told.join(largest, ["digest", "size"]).select(F.col("record").alias("of"), F.col("mark").alias("of_mark"), "size", "digest", revisit.alias("revisit"), F.when(revisit, F.col("refers")).alias("refers"))
     joined = rows.join(plan, (F.col("mark") == F.col("of_mark")) & F.col("record").eqNullSafe(F.col("of"))).drop("of", "of_mark", "mark")
     body = F.when(~F.col("revisit"), F.col("body")).otherwise(F.lit("").cast("binary"))
-    at = f"{root}/{uuid.uuid4().hex}"
+    at = f"{whole(pages.sparkSession, root)}/{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, folder = place(at)
