@@ -22,6 +22,7 @@ from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import SPACE, bound
 
@@ -72,7 +73,9 @@ def replay(flags: DataFrame, filters: Sequence[str]) -> DataFrame:
     orders = flags.sparkSession.createDataFrame([("".join(filters[i] for i in p), list(p)) for p in permutations(range(k))], "filter_order string, places array<int>")
     failing = F.array(*[F.col(f"`{f}`") for f in filters])
     rows = flags.select("part", *MARKS, failing.alias("fails"), reduce(Column.__add__, [F.col(f"`{f}`").cast("int") for f in filters]).alias("n_fails"))
-    crossed = rows.crossJoin(F.broadcast(orders))
+    # a few bytes become k! * k rows, which no coalescing of partitions by bytes foresees; so rows are dealt over all of them
+    dealt = rows.repartition(int(flags.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    crossed = dealt.crossJoin(F.broadcast(orders))
     first = F.coalesce(*[F.when(F.col("fails")[F.col("places")[i]], F.lit(i + 1)) for i in range(k)], F.lit(k + 1))
     steps = crossed.withColumn("first", first).select("part", "filter_order", "first", *MARKS, "n_fails", "fails", F.posexplode("places").alias("at", "place"))
     step = F.col("at") + 1
@@ -87,8 +90,8 @@ def replay(flags: DataFrame, filters: Sequence[str]) -> DataFrame:
     }
     told = steps.groupBy("part", "filter_order", step.alias("step")).agg(*[F.count_if(c).alias(name) for name, c in counted.items()])
     told = told.withColumn("filter", F.substring("filter_order", F.col("step"), F.lit(1)))
-    share = told.groupBy("part", "filter").agg(F.sum("removed").alias("shapley"))
-    return told.join(share, ["part", "filter"]).select("part", "filter_order", F.col("step").cast("int").alias("step"), *counted, "shapley")
+    share = F.sum("removed").over(Window.partitionBy("part", "filter"))  # k! sums each
+    return told.withColumn("shapley", share).select("part", "filter_order", F.col("step").cast("int").alias("step"), *counted, "shapley")
 
 
 def audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
