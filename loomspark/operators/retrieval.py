@@ -114,14 +114,20 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, key: str, query_ke
     return near.select(query_key, F.col("r").alias("rank"), key, "score")
 
 
-def keyword_rerank(found: DataFrame, question: str, field: str, key: str, boost: float = 0.1) -> DataFrame:
-    """found in order of score + boost per distinct query word that its field contains; unchanged without words."""
+def keyword_scored(found: DataFrame, question: str, field: str, boost: float = 0.1) -> DataFrame:
+    """found with boost added to relevance_score for each distinct query word that its field contains; one projection, no order."""
     words = query_words(question)
-    if not words:
-        return found
     low = F.lower(F.coalesce(F.col(field), F.lit("")))
-    hit = reduce(Column.__add__, [low.contains(w).cast("int") for w in words])
-    return found.withColumn("__was", F.col("relevance_score")).withColumn("relevance_score", F.col("relevance_score") + boost * hit).orderBy(F.desc("relevance_score"), F.desc("__was"), key).drop("__was")
+    hit = reduce(Column.__add__, [low.contains(w).cast("int") for w in words], F.lit(0))
+    return found.withColumn("relevance_score", F.col("relevance_score") + boost * hit)
+
+
+def keyword_rerank(found: DataFrame, question: str, field: str, key: str, boost: float = 0.1) -> DataFrame:
+    """found in order of score + boost per distinct query word that its field contains; unchanged without words. For results of a search, which are few."""
+    if not query_words(question):
+        return found
+    scored = keyword_scored(found.withColumn("__was", F.col("relevance_score")), question, field, boost)
+    return scored.orderBy(F.desc("relevance_score"), F.desc("__was"), key).drop("__was")
 
 
 def retrieve(question: str, query: Sequence[float], topics: DataFrame, chunks: DataFrame, checkpoints: DataFrame, top: int = 5) -> dict[str, DataFrame]:

@@ -384,7 +384,7 @@ def vector_topk_batch(spark, sf):
 SELECT doc_id, round(base + 0.1 * (contains(lower(text), 'thing')::INT + contains(lower(text), 'tion')::INT + contains(lower(text), 'que')::INT), 6) AS score FROM f""")
 def keyword_rerank(spark, sf):
     f = read(spark, sf, "documents").select("doc_id", "text", (0.5 + (F.col("doc_id") % 7) / 100.0).alias("relevance_score"))
-    return retrieval.keyword_rerank(f, "what thing tion que", "text", "doc_id").select("doc_id", F.round("relevance_score", 6).alias("score"))
+    return retrieval.keyword_scored(f, "what thing tion que", "text").select("doc_id", F.round("relevance_score", 6).alias("score"))
 
 
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 1), t AS (SELECT vec_id, d.text, list_dot_product(embedding::DOUBLE[], q.e) AS s FROM embeddings JOIN documents d ON d.doc_id = vec_id, q),
