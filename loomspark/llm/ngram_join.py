@@ -330,10 +330,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_shingles, component_id) of each row of docs. Links: 100 * intersection >= percent * union."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     told = cut(describe(rows, words, percent), "shingled")
+    sizes = cut(told.select("id", "n"), "sizes")
     real = told.where("n > 0 AND id IS NOT NULL")
-    speaker = real.groupBy("id").agg(F.min_by("sid", "t").alias("sid"), F.min_by("n", "t").alias("n"))
+    speaker = cut(real.groupBy("id").agg(F.min_by("sid", "t").alias("sid"), F.min_by("n", "t").alias("n")), "speakers")
     class_of = cut(speaker.groupBy("sid", "n").agg(F.min("id").alias("rep")), "classes")
-    classes = real.join(class_of.withColumnRenamed("rep", "id"), ["id", "sid", "n"], "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep")
+    own = class_of.select(F.col("rep").alias("id"), F.col("sid").alias("own_sid"), F.col("n").alias("own_n"))
+    spoken = real.join(own, "id").where("sid = own_sid AND n = own_n").dropDuplicates(["id"])
+    classes = cut(spoken.select(F.col("id").alias("rep"), "n", "keys", "bits"), "sets")  # several passes read it
+    discard(told)
     tiles = tiles_of(classes, percent)
     near = bounded(neighbours(tiles, percent).distinct(), classes, percent)
     pairs = cut(near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b"), "pairs")
@@ -350,8 +354,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             found = components(found.toDF("a", "b").union(links))
             discard(before)
         discard(pairs, links)
-    discard(tiles)
+    discard(tiles, classes)
     named = class_of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "n", F.coalesce("component", "rep").alias("component"))
     of = speaker.join(named, ["sid", "n"]).select("id", "component")
-    out = told.select("id", "n").join(of, "id", "left")
+    out = sizes.join(of, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
