@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import language_id, ngram_join, packing, pii, quality
-from loomspark.llm.shared import WORD, cut, discard
+from loomspark.llm.shared import cut, discard
 
 #: Posterior of the predicted language below which a document is rejected.
 LEAST_SCORE = 0.5
@@ -33,17 +33,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate component; of rows that repeat an id, the one whose text spoke for it in the join."""
+    """Keep the document with the smallest id of each near-duplicate component; of rows that repeat an id, the one whose text is first in order, before anything is compared."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.isEmpty():
+        row, order = F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))
+        first = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row"))
+        docs = docs.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("row.*"))
     named = ngram_join.near_duplicates(docs, words=WORDS, percent=PERCENT)
     losers = named.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti")
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    single = kept.join(again, "doc_id", "left_anti")
-    row = F.struct(*docs.columns)
-    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.coalesce(~F.col("text").rlike(WORD), F.lit(True)), F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("row"))
-    return single.select(*docs.columns).unionByName(first.select("row.*"))
+    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
