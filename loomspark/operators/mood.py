@@ -46,9 +46,9 @@ def mood_vectors(messages: DataFrame, scorer: Scorer | None = None, stress: Sequ
 
 
 def labels(dims: Sequence[str] = lex.MOOD_DIMS, prototypes: Mapping[str, Mapping[str, float]] = lex.MOOD_PROTOTYPES, least: float = 0.15, most: int = 3) -> Column:
-    """Up to `most` prototypes by score, those above `least`, one at least; ties in the order of the table."""
+    """Up to `most` prototypes by score, those above `least`, one at least; ties in the order of the table. Scores have nine digits, so sums that are equal stay equal however they are rounded."""
     score = lambda w: reduce(Column.__add__, [F.col(d) * F.lit(v) for d, v in w.items() if d in dims], F.lit(0.0))
-    listed = F.array(*[F.struct((-score(w)).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("label")) for i, (k, w) in enumerate(prototypes.items())])
+    listed = F.array(*[F.struct(F.round(-score(w), 9).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("label")) for i, (k, w) in enumerate(prototypes.items())])
     ranked = F.array_sort(listed)
     return F.transform(F.slice(F.filter(ranked, lambda x, i: (x["s"] < -least) | (i == 0)), 1, most), lambda x: x["label"])
 

@@ -137,6 +137,13 @@ def test_mood_terms(spark):
     assert got == {0: 0.0, 1: 1.0}
 
 
+def test_mood_labels_compare_sums_of_nine_digits(spark):
+    """0.8 * 0.1 + 0.7 * 0.1 is 0.15000000000000002 in doubles, which isn't above 0.15."""
+    day = {"formality": 1.0, "valence": 0.1, "intensity": 0.1}
+    row = spark.range(1).select(*[F.lit(day.get(d, 0.0)).alias(d) for d in mood.lex.MOOD_DIMS])
+    assert row.select(mood.labels()).first()[0] == ["formal", "reserved"]
+
+
 def test_drift_threshold(spark):
     days = spark.createDataFrame([(0, 0.0, ["a"]), (1, 0.1, ["a"]), (2, 1.0, ["a"])], "day long, x double, mood_labels array<string>")
     got = mood.drifts(days, ["x"]).orderBy("day").collect()
