@@ -142,12 +142,14 @@ def top_words(rows: DataFrame, group: Sequence[str], at: str, text: str, stop: S
     return ranked.where(F.col("rank") <= n).select(*group, "rank", "word", "n")
 
 
-def topic_labels(messages: DataFrame, stop: Sequence[str] = lex.STOP_WORDS, portable: bool = False, group: str = "topic_id", at: str = "global_index") -> DataFrame:
-    """(topic_id, topic_label): the three most frequent words, title-cased and joined by ' & '."""
+def topic_labels(messages: DataFrame, stop: Sequence[str] = lex.STOP_WORDS, portable: bool = False, group: str = "topic_id", at: str = "global_index", without_words: str | None = "General Conversation") -> DataFrame:
+    """(topic_id, topic_label): the three most frequent words, title-cased and joined by ' & '. Topics that have no word get `without_words`, or no row if it is None."""
     top = top_words(messages, [group], at, "text", stop, 3, portable)
     label = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: F.initcap(x["word"])), " & ")
-    every = messages.select(group).distinct()
-    return every.join(top.groupBy(group).agg(label.alias("topic_label")), group, "left").withColumn("topic_label", F.coalesce("topic_label", F.lit("General Conversation")))
+    labelled = top.groupBy(group).agg(label.alias("topic_label"))
+    if without_words is None:
+        return labelled
+    return messages.select(group).distinct().join(labelled, group, "left").withColumn("topic_label", F.coalesce("topic_label", F.lit(without_words)))
 
 
 def ranked_lines(rows: DataFrame, group: str, at: str, line: Column, where: Column, most: int) -> DataFrame:

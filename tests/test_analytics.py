@@ -99,6 +99,12 @@ def test_labels_break_ties_by_first_use(spark):
     assert segmentation.topic_labels(m).first().topic_label == "General Conversation"
 
 
+def test_topics_without_words_may_be_left_out(spark):
+    m = chat(spark, ["bread", "oh 1 2"]).withColumn("topic_id", F.col("global_index"))
+    assert [tuple(r) for r in segmentation.topic_labels(m, without_words=None).collect()] == [(0, "Bread")]
+    assert segmentation.topic_labels(m).count() == 2
+
+
 def test_topics_table(spark):
     m = chat(spark, ["I love pasta with Anna Bell", "hi"]).withColumn("topic_id", F.lit(0))
     t = segmentation.topics(m).first()
