@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -106,6 +107,42 @@ def test_strongest_pairs_equal_all_pairs(spark, monkeypatch, seed, feelings, mos
     assert got == plain_strongest(m.collect(), most, ("not", "never"), pairs)
 
 
+def plain_contradictions(rows, negations, pairs):
+    """Every pair looked at: (entity, a, b, type, confidence, detail), feelings rounded before they are compared."""
+    out = set()
+    for b in rows:
+        for a in (r for r in rows if r.entity == b.entity and r.pos < b.pos):
+            words = [{w for w in (r.text or "").lower().split() if len(w) > 2 and w not in lex.CONTENT_STOP_WORDS} for r in (a, b)]
+            neg = [bool(set((r.text or "").lower().split()) & set(negations)) for r in (a, b)]
+            tried = [(-float(Decimal(repr(abs(a.compound - b.compound) / 2)).quantize(Decimal("0.001"), ROUND_HALF_UP)), 0, "sentiment_flip", "")] if max(a.compound, b.compound) > 0.3 and min(a.compound, b.compound) < -0.3 else []
+            if neg[0] != neg[1] and len(words[0] & words[1]) > 1:
+                tried.append((-0.7, 1, "negation", ", ".join(sorted(words[0] & words[1]))))
+            x, y = ((r.text or "").lower() for r in (a, b))
+            tried += [(-0.8, 2, "verb", f"{p}/{q}") for p, q in pairs if (p in x and q in y) or (q in x and p in y)][:1]
+            if tried:
+                c, _, kind, detail = min(tried)
+                out.add((b.entity, a.id, b.id, kind, -c, detail))
+    return out
+
+
+@pytest.mark.parametrize(("block", "held"), [(2048, 1 << 18), (16, 40), (7, 1)])
+@pytest.mark.parametrize("pairs", [(), (("visit", "cancelled"), ("happy", "sad"), ("visit", "sad"))])
+def test_all_contradictions_equal_all_pairs(spark, monkeypatch, block, held, pairs):
+    """One row for each contradicting pair, made in the task that looks at it: no pair is grouped, sorted or shuffled."""
+    monkeypatch.setattr(conflict, "BLOCK", block)
+    monkeypatch.setattr(conflict, "HELD", held)
+    rng = random.Random(block)
+    pool = "visit cancelled happy sad pasta bread river not never the and mountain élan straße weekend garden".split()
+    feelings = (0.0, 0.3, -0.3, 0.31, -0.31, 0.699, -0.7, 0.7, 0.8, -0.799, -0.8, 0.9, -0.9)
+    rows = [(e, i, " ".join(rng.choices(pool, k=rng.randint(0, 7))) or None, rng.choice(feelings)) for e in ("x", "y") for i in range(50 if e == "x" else 15)] + [("z", 1, "alone", 0.9)]
+    m = told(spark, rows)
+    found = conflict.contradictions(m, negations=("not", "never"), pairs=pairs)
+    got = [(r.entity, r.a.id, r.b.id, r.contradiction_type, r.confidence, r.detail) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_contradictions(m.collect(), ("not", "never"), pairs)
+    after = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert not any(step in after for step in ("Aggregate", "Exchange", "Join"))
+
+
 def test_strongest_pairs_of_an_entity_with_many_mentions(spark):
     """400,000 mentions make 8 * 10^10 pairs, a good part of them contradictions; candidates stay few."""
     n = 400_000
