@@ -8,7 +8,8 @@ the box that bounds them on the leading dimensions, and so do spans of groups. I
 label are joined from the top down: pairs of spans of spans, of spans, then of groups, whose boxes lie more than eps apart
 are skipped; the blocks of the groups left are shipped once for each pair of groups, where pairs of blocks
 are tested alike, and inside a pair of blocks the halving goes on down to LEAF vectors, where
-cosines are computed in full.
+cosines are computed in full; those at the threshold are computed once more from the vectors before they were scaled to
+unit length, whose rounding would move them across it.
 
 No pair list is made: a pair of groups returns, for each vector, the number of its links there and
 one edge towards the smallest id it is connected with. Vectors travel in the element type of the table
@@ -41,14 +42,27 @@ SPAN = 64
 LEAF = 64
 #: Slack of the skipping test, far above rounding and far below any eps of use.
 SLACK = 1e-6
+#: Distance from the threshold, far above rounding, within which a cosine is computed again from the vectors as they are.
+CLOSE = 1e-12
+
+
+def scaled_rows(x: np.ndarray) -> np.ndarray:
+    """The rows times a power of two, which costs no digit and brings each near 1, so no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
-    """The rows at length 1. A power of two, which costs no digit, brings each near 1 first, so no square over- or underflows."""
-    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    """The rows at length 1."""
+    x = scaled_rows(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def rounded_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosines of rows of equal place, computed with more digits and rounded to a double; unit vectors are rounded before they are multiplied, these aren't."""
+    x, y = x.astype(np.longdouble), y.astype(np.longdouble)
+    return ((x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))).astype(np.float64)
+
+
 def units(values: pd.Series) -> np.ndarray:
     return unit_rows(np.array(values.tolist(), np.float64))
 
@@ -84,7 +98,9 @@ class BlockPair:
     def __init__(self, a: tuple, b: tuple | None, axes: np.ndarray, cosine: float) -> None:
         self.cosine, self.eps = cosine, math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
         self.same = b is None
-        (self.id_a, self.w_a, self.x_a), (self.id_b, self.w_b, self.x_b) = a, b or a
+        (self.id_a, self.w_a, self.v_a), (self.id_b, self.w_b, self.v_b) = a, b or a
+        self.x_a = unit_rows(self.v_a)
+        self.x_b = self.x_a if self.same else unit_rows(self.v_b)
         self.p_a, self.p_b = self.x_a @ axes, self.x_b @ axes
         self.n_a, self.n_b = np.zeros(len(self.id_a), np.int64), np.zeros(len(self.id_b), np.int64)
         self.r_a = self.id_a.copy()
@@ -105,7 +121,13 @@ class BlockPair:
                     self.join(x, y)
 
     def leaf(self, a: slice, b: slice) -> None:
-        on = self.x_a[a] @ self.x_b[b].T >= self.cosine
+        cosines = self.x_a[a] @ self.x_b[b].T
+        on = cosines >= self.cosine
+        i, j = np.nonzero(np.abs(cosines - self.cosine) <= CLOSE)
+        step = max(1, (1 << 18) // self.v_a.shape[1])
+        for k in range(0, len(i), step):
+            p, q = i[k : k + step], j[k : k + step]
+            on[p, q] = rounded_cosines(scaled_rows(self.v_a[a][p]), scaled_rows(self.v_b[b][q])) >= self.cosine
         own = self.same and a == b
         if own:
             np.fill_diagonal(on, False)
@@ -242,7 +264,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
         def unpack(row: tuple) -> tuple:
             x = np.frombuffer(row.vectors, number).reshape(-1, dim).astype(np.float64)
-            return np.frombuffer(row.reps, np.int64), np.frombuffer(row.weights, np.int64), unit_rows(x)
+            return np.frombuffer(row.reps, np.int64), np.frombuffer(row.weights, np.int64), x
 
         found = []
         for i, a in enumerate(left):

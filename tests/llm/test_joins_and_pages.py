@@ -156,6 +156,20 @@ def test_vector_join_takes_any_magnitude(spark, scale):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
 
 
+def test_vector_join_links_at_the_threshold(spark):
+    """Whole numbers whose cosine is 93 / 100: about half of them fall below 0.93 when unit vectors are rounded first."""
+    rng, rows = np.random.default_rng(5), []
+    for label in range(40):
+        turn = np.eye(8, dtype=int)
+        for _ in range(2):
+            v = rng.integers(1, 4, 8)
+            turn = turn @ ((v @ v) * np.eye(8, dtype=int) - 2 * np.outer(v, v))
+        for x in ([100, 0, 0, 0, 0, 0, 0, 0], [93, 36, 7, 2, 1, 1, 0, 0], [93, 36, 7, 2, 1, 2, 0, 0]):
+            rows.append((len(rows), (turn @ np.array(x)).astype(float).tolist(), label))
+    got = vector_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: (1, 2, 1)[i % 3] for i in range(len(rows))}
+
+
 def test_boxes_are_compared_down_a_tree(spark, monkeypatch):
     monkeypatch.setattr(vector_join, "SPAN", 2)
     rng = np.random.default_rng(4)
