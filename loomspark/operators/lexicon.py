@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 
 #: Bytes of keywords that are broadcast, and letters by which larger tables are joined.
 AT_MOST, GRAM = 16 << 20, 4
+#: Bytes of rows repeated for their keywords that a task holds at once.
+HELD = 4 << 20
 
 
 def table(spark: SparkSession, lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -85,23 +87,37 @@ def by_automaton(rows: DataFrame, text: str, known: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         machine = Automaton(words)
+
+        def repeated(batch: pa.RecordBatch, of: list[int], found: list[int]) -> pa.RecordBatch:
+            at = pa.array(of, pa.int64())
+            return pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(n)], pa.array([words[w] for w in found], pa.string())], names=schema.names)
+
         for batch in batches:
-            found = [machine.found(t) if t else [] for t in batch.column(n).to_pylist()]
-            of = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
-            columns = [batch.column(i).take(of) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([words[w] for f in found for w in f], pa.string())], names=schema.names)
+            of, found, held = [], [], 0
+            for i, t in enumerate(batch.column(n)):
+                hits = machine.found(t.as_py()) if t.is_valid else []
+                each = max(1, batch.slice(i, 1).nbytes)
+                for w in hits:
+                    of.append(i)
+                    found.append(w)
+                    held += each
+                    if held >= HELD:
+                        yield repeated(batch, of, found)
+                        of, found, held = [], [], 0
+            if of:
+                yield repeated(batch, of, found)
 
     hit = rows.select("*", F.lower(F.col(text)).alias("__low")).mapInArrow(run, schema)
     return hit.join(F.broadcast(known), "keyword").select(*rows.columns, "keyword", "category", "place")
 
 
-def by_grams(rows: DataFrame, text: str, known: DataFrame) -> DataFrame:
+def by_grams(rows: DataFrame, text: str, known: DataFrame, lengths: Sequence[int] = tuple(range(1, GRAM + 1))) -> DataFrame:
     """Texts are exploded to their grams of each length in use; a gram of a row and its keywords meet once for each place."""
     low = F.lower(F.col(text))
-    lengths = F.array(*[F.lit(i) for i in range(1, GRAM + 1)])
+    used = F.array(*[F.lit(i) for i in lengths])
     places = F.when(F.length("__low") > 0, F.sequence(F.lit(1), F.length("__low")))
     gram = lambda at, size: F.substring(F.col("__low"), at, size)
-    cut = F.array_distinct(F.flatten(F.transform(places, lambda at: F.transform(lengths, lambda size: gram(at, size)))))
+    cut = F.array_distinct(F.flatten(F.transform(places, lambda at: F.transform(used, lambda size: gram(at, size)))))
     texts = rows.select("*", low.alias("__low")).withColumn("__gram", F.explode(cut))
     keyed = known.withColumn("__gram", F.left("keyword", F.lit(GRAM)))
     return texts.join(keyed, "__gram").where(F.contains("__low", "keyword")).select(*rows.columns, "keyword", "category", "place")

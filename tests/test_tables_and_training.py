@@ -73,6 +73,24 @@ def test_keyword_tables_both_ways(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_rows_of_keywords_leave_in_small_batches(spark, monkeypatch):
+    """A text of a kilobyte that holds 200 keywords is 200 kilobytes of rows; a task hands on HELD bytes at a time."""
+    monkeypatch.setattr(lexicon, "HELD", 10_000)
+    words = [f"w{i:03d}x" for i in range(200)]
+    table = spark.createDataFrame([(w, "c", i) for i, w in enumerate(words)], "keyword string, category string, place int")
+    rows = spark.createDataFrame([(i, " ".join(words[i:])) for i in range(20)], "id int, text string")
+    got = [(r.id, r.keyword) for r in lexicon.contained(rows, "text", table).collect()]
+    assert sorted(got) == [(i, w) for i in range(20) for w in words[i:]]
+
+
+def test_texts_are_cut_to_the_lengths_in_use(spark):
+    """Keywords of four letters or more need one gram a place."""
+    table = spark.createDataFrame([("bread", "c", 0), ("milk", "c", 1)], "keyword string, category string, place int")
+    found = lexicon.contained(spark.createDataFrame([(1, "no bread or milk")], "id int, text string"), "text", table, 0)
+    assert sorted(r.keyword for r in found.collect()) == ["bread", "milk"]
+    assert "[1,2,3,4]" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_an_automaton_of_many_keywords():
     rng = random.Random(6)
     words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(100_000)})
