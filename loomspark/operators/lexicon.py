@@ -73,8 +73,8 @@ def contained(rows: DataFrame, text: str, keywords: DataFrame, at_most: int | No
     """rows with keyword, category and place: one row for each keyword that the text contains. Null texts and null or empty keywords match nothing."""
     limit = AT_MOST if at_most is None else at_most
     known = keywords.where("keyword <> ''").select(F.lower("keyword").alias("keyword"), "category", "place").distinct()
-    size = known.agg(F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0))).first()[0]
-    hits = by_automaton(rows, text, known) if size <= limit else by_grams(rows, text, known)
+    size, lengths = known.agg(F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0)), F.sort_array(F.collect_set(F.least(F.length("keyword"), F.lit(GRAM))))).first()  # at most GRAM lengths
+    hits = by_automaton(rows, text, known) if size <= limit else by_grams(rows, text, known, lengths)
     return hits
 
 
