@@ -210,3 +210,17 @@ def test_published_sentences_have_their_scores(spark):
     got = {r.id: r for r in valence.scored(rows, "id", "text", table, boosters, ("not", "nor", "never", "isn't", "without")).collect()}
     assert {t: got[i].compound for i, (t, _) in enumerate(texts)} == {t: pytest.approx(s, abs=6e-5) for t, s in texts}
     assert all(r.pos + r.neu + r.neg == pytest.approx(1, abs=2e-3) for r in got.values() if r.compound) and got[len(PUBLISHED)].neu == 0.0
+
+
+def test_valence_hands_on_tokens_of_the_lexicon_only(spark):
+    rng = random.Random(9)
+    said = [*LEXICON, "very", "but", "not", "least", "plain", "WORD", "'good,'", "İa!", "ΑΣ.", "so", "never"]
+    texts = [" ".join(rng.choices(said, k=rng.randint(0, 30))) for _ in range(60)] + [None, "x " * 20_000 + "not good!", "GOOD " + "x " * 20_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    table = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    got = valence.scored(rows, "id", "text", table)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert valence.met(rows.where("id >= 60"), "id", "text", table).count() == 4  # the first token of each text and one more
+    joined = valence.scored(rows, "id", "text", table, at_most=0)  # tokens are shuffled to a table that is too large to broadcast
+    assert sorted(joined.collect()) == sorted(got.collect())
+    assert {r.id: r.compound for r in got.where("id >= 60").collect()} == {60: 0.0, 61: pytest.approx(-0.4015, abs=6e-5), 62: pytest.approx(0.5622, abs=6e-5)}  # (-0.74 * 1.9 - 0.292) and (1.9 + 0.733), each by its root
