@@ -224,3 +224,15 @@ def test_valence_hands_on_tokens_of_the_lexicon_only(spark):
     joined = valence.scored(rows, "id", "text", table, at_most=0)  # tokens are shuffled to a table that is too large to broadcast
     assert sorted(joined.collect()) == sorted(got.collect())
     assert {r.id: r.compound for r in got.where("id >= 60").collect()} == {60: 0.0, 61: pytest.approx(-0.4015, abs=6e-5), 62: pytest.approx(0.5622, abs=6e-5)}  # (-0.74 * 1.9 - 0.292) and (1.9 + 0.733), each by its root
+
+
+def test_rows_learned_from_are_scored_without_their_texts(spark, tmp_path):
+    rows = [(i, " ".join(["good" if i % 3 else "bad", "plain", f"w{i % 4}"]), i % 2) for i in range(20)] + [(50, "", 1), (51, "unknown", None)]
+    spark.createDataFrame(rows, "id long, text string, label int").write.parquet(f"{tmp_path}/texts")
+    read = spark.read.parquet(f"{tmp_path}/texts")
+    tokens = F.filter(F.split("text", " "), lambda w: w != "")
+    model = linear.train(read, "id", tokens, "label", steps=2)
+    got = {(r.row, r["class"]): r.p for r in model.fitted().collect()}
+    assert not [f for f in model.fitted().inputFiles() if "/texts/" in f] and {i for i, _ in got} == {*range(20), 50}
+    again = model.scores(linear.weighted(linear.counted(read, "id", tokens), model.weights), read.where("label IS NOT NULL").select(F.col("id").alias("row")))
+    assert got == pytest.approx({(r.row, r["class"]): r.p for r in again.collect()}, abs=1e-12)
