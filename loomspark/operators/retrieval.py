@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions.text import query_words
@@ -97,18 +98,44 @@ def scores_of(batches: Iterator[pa.RecordBatch], k: int, names: list[str]) -> It
             yield pa.RecordBatch.from_arrays([asked.values.take(pa.array(of)), keys.values.take(pa.array(np.concatenate(found))), value], names=names)
 
 
+def met_in_spans(index: DataFrame, queries: DataFrame, spans: int, asked: int, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """fn over each pair of blocks (keys, dim, data) of the index and of the queries.
+
+    Blocks are dealt into `spans` and `asked` spans by their keys. Each pair of spans is a group that holds the blocks of either side once, so
+    what a task takes in is bounded by the spans and no row carries a pair of blocks.
+    """
+    span = lambda n: F.pmod(F.xxhash64("keys", "dim"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.select(span(spans).alias("i"), "keys", "dim", "data").withColumn("j", every(asked))
+    right = queries.select(span(asked).alias("j"), "keys", "dim", "data").withColumn("i", every(spans))
+
+    def pairs(v: pa.Table, q: pa.Table) -> Iterator[pa.RecordBatch]:
+        theirs = [b.slice(r, 1) for b in q.select(["keys", "dim", "data"]).to_batches() for r in range(b.num_rows)]
+        for b in v.select(["keys", "dim", "data"]).to_batches():
+            for r in range(b.num_rows):
+                for other in theirs:
+                    yield pa.RecordBatch.from_arrays([*b.slice(r, 1).columns, *other.columns], names=["keys", "dim", "data", "asked", "asked_dim", "wanted"])
+
+    def run(v: pa.Table, q: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([b.cast(out) for b in fn(pairs(v, q))], out)
+
+    out = to_arrow_schema(schema)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, schema)
+
+
 def top_k_batch(index: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "vec", block: int = 4096) -> DataFrame:
     """(query_key, rank, key, score): the k nearest rows of each query, of any number of queries.
 
-    Queries are dealt into partitions of `block`; blocks of them meet blocks of the index in a
-    product, and each pair of blocks keeps its k best a query before anything is sorted or shuffled.
+    Queries are dealt into partitions of `block`; spans of them and spans of the index, of about `block` vectors each, meet in groups, and
+    each pair of blocks keeps its k best a query before anything is sorted.
     """
-    dealt = queries.repartition(max(1, -(-queries.count() // block)))
+    spans, asked = (max(1, -(-rows.count() // block)) for rows in (index, queries))
+    dealt = queries.repartition(asked)
     q, v = packed(dealt, query_key, vector, 64), packed(index, key, vector, 2048)
     names = {query_key: queries.schema[query_key].dataType, key: index.schema[key].dataType}
 
     schema = T.StructType([*[T.StructField(c, t) for c, t in names.items()], T.StructField("score", T.DoubleType())])
-    pairs = v.crossJoin(q.toDF("asked", "asked_dim", "wanted")).mapInArrow(lambda batches: scores_of(batches, k, [query_key, key, "score"]), schema)
+    pairs = met_in_spans(v, q, spans, asked, lambda batches: scores_of(batches, k, [query_key, key, "score"]), schema)
     order = [F.desc("score"), F.col(key)]
     near = pairs.withColumn("r", F.row_number().over(Window.partitionBy(query_key).orderBy(*order))).where(F.col("r") <= k)
     return near.select(query_key, F.col("r").alias("rank"), key, "score")

@@ -222,6 +222,15 @@ def test_batch_with_odd_vectors(spark):
     assert retrieval.top_k_batch(index, queries.where("false"), 4, "id", "q").count() == 0
 
 
+def test_batch_ships_blocks_once_for_each_pair_of_spans(spark):
+    index = spark.range(9000).select("id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((F.col("id") * 7 + i * 3) % 101).cast("float")).alias("vec"))
+    queries = index.where("id % 9 = 0").select(F.col("id").alias("q"), "vec")
+    got = retrieval.top_k_batch(index, queries, 2, "id", "q", block=500)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "FlatMapCoGroupsInArrow" in plan  # no row holds a pair of blocks
+    assert sorted(got.select("q", "rank", "id").collect()) == sorted(retrieval.top_k_batch(index, queries, 2, "id", "q").select("q", "rank", "id").collect()) and got.count() == 2000
+
+
 def test_rerank(spark):
     rows = spark.createDataFrame([(1, "nothing", 0.5), (2, "red house", 0.45)], "id long, text string, relevance_score double")
     got = retrieval.keyword_rerank(rows, "where is the red house", "text", "id").collect()
