@@ -7,6 +7,7 @@ import re
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,62 @@ def test_all_contradictions_equal_all_pairs(spark, monkeypatch, block, held, pai
     assert not any(step in after for step in ("Aggregate", "Exchange", "Join"))
 
 
+def block_of(rows, first):
+    """A packed block of (text, negated, feeling, sides), by place from `first`."""
+    words = [sorted(set(t.split())) for t, *_ in rows]
+    n = range(first, first + len(rows))
+    table = pa.table({"entity": ["x"] * len(rows), "block": [0] * len(rows), "pos": list(n), "source": ["message"] * len(rows), "id": [k * 10 for k in n], "compound": [r[2] for r in rows], "neg": [r[1] for r in rows], "words": pa.array(words, pa.list_(pa.string())), "sides": pa.array([r[3] for r in rows], pa.list_(pa.bool_()))})
+    return conflict.packed(table.take(pa.array(random.Random(first).sample(range(len(rows)), len(rows)))))
+
+
+@pytest.mark.parametrize(("dense", "held", "negated"), [(512, 1 << 18, 0.3), (0, 1 << 18, 0.3), (3, 500, 0.3), (512, 1, 0.5), (512, 1 << 18, 0.0), (512, 1 << 18, 1.0)])
+@pytest.mark.parametrize("same", [False, True])
+def test_packed_blocks_cross_like_all_pairs(monkeypatch, dense, held, negated, same):
+    monkeypatch.setattr(conflict, "DENSE", dense)
+    monkeypatch.setattr(conflict, "HELD", held)
+    rng = random.Random(dense + held)
+    pool = [f"w{int(40 * rng.random() ** 3)}" for _ in range(300)] + ["élan", "straße"]
+    rows = lambda n: [(" ".join(rng.choices(pool, k=rng.randint(0, 9))), rng.random() < negated, rng.choice((0.0, 0.31, -0.9, 0.9, -0.5, None)), [rng.random() < 0.2 for _ in range(4)]) for _ in range(n)]
+    left = rows(70)
+    right = left if same else rows(41)
+    read = lambda t: conflict.Block(t["marks"][0], t["words"][0])
+    a = read(block_of(left, 0))
+    b = a if same else read(block_of(right, 1000))
+    got = set()
+    for xs, ys, kinds, strengths, details in conflict.Crossing(a, b, same, 2, 2, True).found(["one", "two"]):
+        assert len(xs) <= max(held, b.n)
+        got |= {(a.id[x].as_py() // 10, b.id[y].as_py() // 10, k, round(s, 3) if k == 0 else 0, d) for x, y, k, s, d in zip(xs.tolist(), ys.tolist(), kinds.tolist(), strengths.tolist(), details.to_pylist())}
+    want, start = set(), 0 if same else 1000
+    for x, (ta, na, ca, sa) in enumerate(left):
+        for y, (tb, nb, cb, sb) in enumerate(right):
+            if same and x >= y:
+                continue
+            ca, cb, common = ca or 0.0, cb or 0.0, sorted(set(ta.split()) & set(tb.split()))
+            tried = [(-abs(ca - cb) / 2, 0, "")] if max(ca, cb) > 0.3 and min(ca, cb) < -0.3 else []
+            tried += [(-0.7, 1, ", ".join(common))] if na != nb and len(common) > 1 else []
+            tried += [(-0.8, 2, name) for i, name in enumerate(("one", "two")) if (sa[2 * i] and sb[2 * i + 1]) or (sa[2 * i + 1] and sb[2 * i])][:1]
+            if tried:
+                c, k, d = min(tried)
+                want.add((x, start + y, k, round(-c, 3) if k == 0 else 0, d))
+    assert got == want
+
+
+def test_blocks_are_short_rows_dealt_one_at_a_time(spark):
+    """A join that streams blocks holds all copies of a block at once; pairs of blocks are streamed, each takes one block."""
+    rng = random.Random(3)
+    texts = [" ".join(f"word{int(3000 * rng.random() ** 2)}" for _ in range(100)) for _ in range(1000)]
+    row = block_of([(t, k % 5 == 0, 0.0, [False] * 4) for k, t in enumerate(texts)], 0)
+    assert len(row["marks"][0].as_py()) + len(row["words"][0].as_py()) < sum(map(len, texts)) / 3
+    plan = conflict.contradictions(told(spark, [("x", k, t, 0.0) for k, t in enumerate(texts[:20])]))._jdf.queryExecution().executedPlan().toString()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.split("\n")
+    for n, line in enumerate(lines):
+        if "BroadcastHashJoin" in line:
+            below = "".join(x for x in lines[n + 1 : next((k for k in range(n + 1, len(lines)) if depth(lines[k]) <= depth(line)), len(lines))])
+            assert "marks" not in below and "rows" not in below
+    assert sum("SortMergeJoin" in x for x in lines) >= 3
+
+
 def test_strongest_pairs_of_an_entity_with_many_mentions(spark):
     """400,000 mentions make 8 * 10^10 pairs, a good part of them contradictions; candidates stay few."""
     n = 400_000
