@@ -15,6 +15,7 @@ from loomspark.functions import lexicons as lex
 from loomspark.operators import conflict, postings, retrieval, vector_index
 from loomspark.operators.postings import Postings
 from loomspark.operators.vector_index import VectorIndex
+from loomspark.plans import queries
 from loomspark.sources.stores import OrderedTable, places
 
 
@@ -200,6 +201,14 @@ def test_blocks_are_short_rows_dealt_one_at_a_time(spark):
     assert sum("SortMergeJoin" in x for x in lines) >= 3
 
 
+@pytest.mark.parametrize("name", ["contradiction_verb", "contradiction_flip", "contradictions_all"])
+def test_a_task_makes_only_the_columns_that_a_query_has(spark, name):
+    """Names of the entity and of sources, equal in each of the many rows, are not sent from Python."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    made = re.search(r"MapInArrow [^\n]*", plan).group()
+    assert "id_a" in made and not re.search(r"source_[ab]#", made)
+
+
 def test_strongest_pairs_of_an_entity_with_many_mentions(spark):
     """400,000 mentions make 8 * 10^10 pairs, a good part of them contradictions; candidates stay few."""
     n = 400_000
