@@ -209,6 +209,19 @@ def test_a_task_makes_only_the_columns_that_a_query_has(spark, name):
     assert "id_a" in made and not re.search(r"source_[ab]#", made)
 
 
+def test_shared_words_are_listed_only_where_detail_is_asked_for(spark, monkeypatch):
+    """Pairs are the same either way; the negation query counts shared words and makes no detail."""
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choices([f"w{k}" for k in range(30)], k=8)), rng.random() < 0.4, 0.0, [False] * 2) for _ in range(200)]
+    a = conflict.Block(*(block_of(rows, 0)[c][0] for c in ("marks", "words")))
+    runs = {listed: [(*t, d) for x, y, _, _, detail in conflict.Crossing(a, a, True, 1, 2, listed).found(["one"]) for *t, d in zip(x.tolist(), y.tolist(), detail.to_pylist())] for listed in (True, False)}
+    assert sorted(t[:2] for t in runs[True]) == sorted(t[:2] for t in runs[False]) and runs[False]
+    assert all(t[2].count(",") for t in runs[True]) and not any(t[2] for t in runs[False])
+    plan = queries.QUERIES["contradiction_negation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    made = re.search(r"MapInArrow [^\n]*", plan).group()
+    assert "id_a" in made and not re.search(r"(source_[ab]|detail)#", made)
+
+
 def test_strongest_pairs_of_an_entity_with_many_mentions(spark):
     """400,000 mentions make 8 * 10^10 pairs, a good part of them contradictions; candidates stay few."""
     n = 400_000
